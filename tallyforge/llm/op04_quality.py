@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.features import MEASURES_SQL, measures
-from tallyforge.llm.session import written
+from tallyforge.llm.session import hashed, written
 
 #: Binned evidence; the same text is SQL in Spark and DuckDB. Shares are in steps that widen with the share.
 BINS = {
     "marks": "case when n_marks = 0 then 0 when n_marks * 200 < n_chars then 1 when n_marks * 20 < n_chars then 2 else 3 end",
-    "upper": "case when n_upper * 200 < n_chars then 0 when n_upper * 20 < n_chars then 1 when n_upper * 5 < n_chars then 2 else 3 end",
+    "upper": "case when n_upper * 200 < n_chars then 0 when n_upper * 20 < n_chars or n_upper <= n_words then 1 when n_upper * 5 < n_chars then 2 else 3 end",
     "bang": "case when n_bang = 0 then 0 when n_bang * 50 < n_chars then 1 else 2 end",
-    "same_lines": "case when n_same_lines = 0 then 0 when n_same_lines * 5 < n_lines then 1 when n_same_lines * 2 < n_lines then 2 else 3 end",
-    "variety": "case when n_words < 20 then 0 when n_distinct * 5 < n_words then 1 when n_distinct * 5 < n_words * 2 then 2 when n_distinct * 20 < n_words * 11 then 3 else 4 end",
+    "same_lines": "case when n_same_lines = 0 then 0 when n_same_lines * 5 < n_lines or n_same_lines < 3 then 1 when n_same_lines * 2 < n_lines then 2 else 3 end",
+    "variety": "case when n_words < 20 then 0 when n_distinct * n_distinct < n_words * 2 then 1 when n_distinct * n_distinct < n_words * 8 then 2 when n_distinct * n_distinct < n_words * 25 then 3 else 4 end",
     "size": "case when n_words < 3 then 0 when n_words < 20 then 1 when n_words < 100 then 2 when n_words < 1000 then 3 else 4 end",
 }
 #: Label counts added to every bin.
@@ -28,7 +30,7 @@ def site_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", row_hash: bool = False) -> DataFrame:
     """Quality of every document: (doc_id, evidence, site, probability, keep), one row per input row.
 
     Evidence is the log-likelihood ratio of naive Bayes over binned text measures, fitted on all labelled
@@ -36,16 +38,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     evidence alone. Grouped sums of outcomes give each host (host_col) a posterior that is shrunk toward the
     global mean with a strength estimated from how much hosts differ, and each path (host_col, path_col) one
     shrunk toward its host, in both cases without the document's own outcome. The path posterior is the
-    prior odds of the document's evidence. keep: probability at least threshold.
+    prior odds of the document's evidence. keep: probability at least threshold. With row_hash, a column of
+    that name identifies equal rows (see row_hash in session.py).
 
     A null text counts as an empty one. Null hosts and paths are each a site of their own. Null ids are
     classified like others, without label. Labels of one id are merged by their largest value; null labels
     are none. Without labels of both kinds evidence is 0. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
+    more = ["row_hash"] if row_hash else []
+    given = given.withColumn("row_hash", hashed("doc_id", "host", "path", "text")) if row_hash else given
     bins = [F.expr(sql).cast("int").alias(f"b_{name}") for name, sql in BINS.items()]
-    seen = written(given.select("doc_id", F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), *measures()).select("doc_id", "host", "path", *bins), "quality")
+    seen = written(given.select("doc_id", *more, F.coalesce("host", F.lit("\0")).alias("host"), F.coalesce("path", F.lit("\0")).alias("path"), *measures()).select("doc_id", *more, "host", "path", *bins), "quality")
     marks = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").alias("doc_id")).agg(F.max("quality").alias("label"))
     seen = written(seen.join(marks, "doc_id", "left"), "quality-labelled")
 
@@ -55,8 +60,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     n0, n1 = counts["all_0"], counts["all_1"]
     evidence, base = F.lit(0.0), (n1 + 1.0) / (n0 + n1 + 2.0)
     if n0 and n1:
-        import math
-
         for f, k in sizes.items():
             term = F.lit(0.0)
             for b in range(k):
@@ -64,7 +67,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
                 term = F.when(F.col(f"b_{f}") == b, F.lit(ratio)).otherwise(term)
             evidence = evidence + term
     odds = F.lit(math.log(base / (1 - base)) if n0 and n1 else 0.0)
-    scored = seen.select("doc_id", "host", "path", evidence.alias("evidence"), "label")
+    scored = seen.select("doc_id", *more, "host", "path", evidence.alias("evidence"), "label")
     scored = scored.withColumn("y", F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-(F.col("evidence") + odds)))))
 
     paths = written(site_counts(scored, ["host", "path"]), "quality-sites")
@@ -90,7 +93,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     site = (F.col("s") - F.col("y") + path_m * host_rate) / (F.col("n") - 1 + path_m)
     clipped = F.greatest(F.least(site, F.lit(1 - 1e-6)), F.lit(1e-6))
     probability = 1 / (1 + F.exp(-(F.log(clipped / (1 - clipped)) + F.col("evidence"))))
-    out = scored.join(sites, ["host", "path"]).select("doc_id", F.round("evidence", 6).alias("evidence"), F.round(clipped, 6).alias("site"), F.round(probability, 6).alias("probability"))
+    out = scored.join(sites, ["host", "path"]).select("doc_id", *more, F.round("evidence", 6).alias("evidence"), F.round(clipped, 6).alias("site"), F.round(probability, 6).alias("probability"))
     return out.withColumn("keep", F.col("probability") >= threshold)
 
 

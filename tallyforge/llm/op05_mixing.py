@@ -75,9 +75,9 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
 ORACLE = f"""with sized as materialized (select coalesce(source, '') source, doc_id, md5(concat(doc_id, '{SEED}')) h, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> ''))::bigint n from documents),
 totals as (select source, sum(n) tokens, round(1e6 * pow(sum(n) / 1e6, {POWER}))::bigint w, ceil(sum(n) / {BLOCK})::bigint blocks from sized where n > 0 group by 1),
 lines as materialized (select *, sum(w) over (order by source) upto, sum(w) over () whole from totals),
-laid as (select source, doc_id, n, (sum(n) over (partition by source order by h, doc_id, n rows unbounded preceding) - n)::bigint at from sized where n > 0),
-pieces as (select source, unnest(range(at // {BLOCK}, (at + n - 1) // {BLOCK} + 1)) block, doc_id, at, n from laid),
+laid as (select source, doc_id, n, (sum(n) over (partition by source order by h, doc_id, n rows unbounded preceding) - n)::bigint begin_ from sized where n > 0),
+pieces as (select source, unnest(range(begin_ // {BLOCK}, (begin_ + n - 1) // {BLOCK} + 1)) block, doc_id, begin_, n from laid),
 slots as (select slot, (slot + 1)::double * {PHI} - floor((slot + 1)::double * {PHI}) x from range((select max(ceil(blocks * whole / w) + 4)::bigint from lines)) r(slot)),
 ranked as (select slot, source, row_number() over (partition by source order by slot) - 1 r, blocks from slots join lines on x * whole >= upto - w and x * whole < upto)
-select slot, ranked.source, (r % blocks)::bigint block, (r // blocks)::bigint epoch, doc_id, greatest(0, block * {BLOCK} - at)::bigint first_token, least(n - 1, (block + 1) * {BLOCK} - at - 1)::bigint last_token
+select slot, ranked.source, (r % blocks)::bigint block, (r // blocks)::bigint epoch, doc_id, greatest(0, pieces.block * {BLOCK} - begin_)::bigint first_token, least(n - 1, (pieces.block + 1) * {BLOCK} - begin_ - 1)::bigint last_token
 from ranked join pieces on ranked.source = pieces.source and r % blocks = pieces.block"""

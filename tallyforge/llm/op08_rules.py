@@ -12,89 +12,104 @@ from tallyforge.llm.features import MEASURES_SQL, measures
 #: Each rule votes 1 (good), -1 (bad) or abstains (0); the same text is SQL in Spark and DuckDB.
 RULES = {
     "marks": "case when n_marks * 10 > n_chars then -1 when n_marks * 100 <= n_chars then 1 else 0 end",
-    "capitals": "case when n_upper * 10 > n_chars * 3 then -1 when n_upper * 10 <= n_chars then 1 else 0 end",
+    "capitals": "case when n_upper * 10 > n_chars * 3 and n_upper > n_words * 2 then -1 when n_upper * 10 <= n_chars or n_upper <= n_words then 1 else 0 end",
     "shouting": "case when n_bang * 20 > n_chars then -1 when n_bang = 0 then 1 else 0 end",
     "lists": "case when n_pipes * 5 > n_words then -1 when n_pipes = 0 then 1 else 0 end",
-    "variety": "case when n_words < 30 then 0 when n_distinct * 5 < n_words then -1 when n_distinct * 2 > n_words then 1 else 0 end",
+    "variety": "case when n_words < 30 then 0 when n_distinct * n_distinct < n_words * 4 then -1 when n_distinct * n_distinct > n_words * 16 then 1 else 0 end",
     "same_lines": "case when n_lines < 4 then 0 when n_same_lines * 2 >= n_lines then -1 when n_same_lines = 0 then 1 else 0 end",
     "word_size": "case when n_words < 5 then 0 when n_chars < n_words * 3 or n_chars > n_words * 14 then -1 else 1 end",
     "emptiness": "case when n_words = 0 then -1 else 0 end",
 }
-ROUNDS = 15
-PRIOR, SMOOTHING, THRESHOLD = 0.9, 1.0, 0.5
+ROUNDS = 10
+PRIOR, DOUBT, SMOOTHING, THRESHOLD = 0.99, 0.1, 1.0, 0.5
 NAMES = list(RULES)
 
 
-def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, v_<rule> for each rule)."""
+def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, v_<rule> for each rule), and with row all input columns as one struct of that name."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = [row] if row else []
     pipes = (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("bigint").alias("n_pipes")
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return given.select("doc_id", *measures(), pipes).select("doc_id", *(F.expr(sql).cast("int").alias(f"v_{n}") for n, sql in RULES.items()))
+    whole = [F.struct(*(docs[c] for c in docs.columns)).alias(row)] if row else []
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *whole)
+    return given.select("doc_id", *kept, *measures(), pipes).select("doc_id", *kept, *(F.expr(sql).cast("int").alias(f"v_{n}") for n, sql in RULES.items()))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Prior and P(vote | bad), P(vote | good) of each rule, by expectation-maximisation over distinct vote patterns.
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], list[list[float]]]:
+    """Share of each class, and P(rule votes good | class, it votes), by expectation-maximisation over distinct vote patterns.
 
-    It starts from the share of votes for good, and smooths every probability by SMOOTHING documents.
+    Class 0 is good; class j + 1 is the defect that rule j is about, for texts are bad in different ways and
+    the rules for one defect say little about another. An abstention says nothing. It starts by doubting what
+    has a vote for bad, and smooths every probability by SMOOTHING documents.
     """
-    q = [(sum(p) / sum(map(abs, p)) + 1) / 2 if any(p) else PRIOR for p, _ in patterns]
+    m = len(RULES)
+    q = []
+    for p, _ in patterns:
+        bad = [float(v == -1) for v in p]
+        good = DOUBT if any(bad) else PRIOR
+        q.append([good] + [(1 - good) * (b / sum(bad) if any(bad) else 1 / m) for b in bad])
     total = sum(n for _, n in patterns)
-    prior, table = PRIOR, [{v: (1 / 3, 1 / 3) for v in (-1, 0, 1)} for _ in RULES]
+    prior, table = [1 / (m + 1)] * (m + 1), [[0.5] * m for _ in range(m + 1)]
     for _ in range(ROUNDS if patterns else 0):
-        good = sum(n * a for (_, n), a in zip(patterns, q))
-        prior = (good + SMOOTHING) / (total + 2 * SMOOTHING)
-        for j in range(len(RULES)):
-            table[j] = {
-                v: ((sum(n * (1 - a) for (p, n), a in zip(patterns, q) if p[j] == v) + SMOOTHING) / (total - good + 3 * SMOOTHING), (sum(n * a for (p, n), a in zip(patterns, q) if p[j] == v) + SMOOTHING) / (good + 3 * SMOOTHING))
-                for v in (-1, 0, 1)
-            }
-        q = [1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(math.log(table[j][v][1] / table[j][v][0]) for j, v in enumerate(p))))) for p, _ in patterns]
+        for c in range(m + 1):
+            prior[c] = (sum(n * x[c] for (_, n), x in zip(patterns, q)) + SMOOTHING) / (total + (m + 1) * SMOOTHING)
+            for j in range(m):
+                good, cast = (sum(n * x[c] for (p, n), x in zip(patterns, q) if p[j] in kinds) for kinds in ((1,), (-1, 1)))  # noqa: B023
+                table[c][j] = (good + SMOOTHING) / (cast + 2 * SMOOTHING)
+        for i, (p, _) in enumerate(patterns):
+            e = [math.exp(math.log(prior[c]) + sum(math.log(table[c][j] if v == 1 else 1 - table[c][j]) for j, v in enumerate(p) if v)) for c in range(m + 1)]
+            q[i] = [x / sum(e) for x in e]
     return prior, table
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """Posterior quality of every document: (doc_id, n_good, n_bad, quality, keep), one row per input row.
 
     Rules vote good or bad or abstain. Expectation-maximisation over the distinct vote patterns (their
     number depends on the rules, not on the data) estimates how often each rule votes what on good and on
-    bad documents; the posterior probability of good replaces the demand that all rules pass. The votes are
-    counted over all documents. keep: quality at least 0.5.
+    bad documents where it votes; the posterior probability of good replaces
+    the demand that all rules pass. The votes are
+    counted over all documents. keep: quality at least 0.5. With row, a first column of that name holds the
+    input row, so that a filter needs no join.
 
     A null text counts as an empty one, on which one rule votes bad and most others good or abstain. Null
     ids, equal ids and repeated rows are judged as rows. An empty table gives no rows. Other columns are
     ignored, whatever their names.
     """
-    cast = votes(docs, id_col, text_col)
+    cast, kept = votes(docs, id_col, text_col, row), [row] if row else []
     columns = [f"v_{n}" for n in NAMES]
     patterns = [(tuple(r[c] for c in columns), r["n"]) for r in cast.groupBy(*columns).agg(F.count("*").alias("n")).collect()]
     prior, table = estimate(sorted(patterns))
-    logit = F.lit(math.log(prior / (1 - prior)))
-    for c, row in zip(columns, table):
-        term = F.when(F.col(c) == -1, math.log(row[-1][1] / row[-1][0])).when(F.col(c) == 1, math.log(row[1][1] / row[1][0])).otherwise(math.log(row[0][1] / row[0][0]))
-        logit = logit + term
+    likelihood = []
+    for share, row in zip(prior, table):
+        total = F.lit(math.log(share))
+        for c, p in zip(columns, row):
+            total = total + F.when(F.col(c) == 1, math.log(p)).when(F.col(c) == -1, math.log(1 - p)).otherwise(0.0)
+        likelihood.append(F.exp(total))
     count = lambda v: sum((F.col(c) == v).cast("int") for c in columns)
-    out = cast.select("doc_id", count(1).alias("n_good"), count(-1).alias("n_bad"), F.round(1 / (1 + F.exp(-logit)), 6).alias("quality"))
+    out = cast.select(*kept, "doc_id", count(1).alias("n_good"), count(-1).alias("n_bad"), F.round(likelihood[0] / sum(likelihood[1:], likelihood[0]), 6).alias("quality"))
     return out.withColumn("keep", F.col("quality") >= THRESHOLD)
 
 
 def _sql() -> str:
     rules = ", ".join(f"{sql} v_{n}" for n, sql in RULES.items())
     cols = [f"v_{n}" for n in NAMES]
-    total, weight = " + ".join(cols), " + ".join(f"abs({c})" for c in cols)
-    steps = [f"q0 as materialized (select *, case when {weight} > 0 then (({total})::double / ({weight}) + 1) / 2 else {PRIOR} end q from patterns)"]
+    m = len(cols)
+    bad, each = " or ".join(f"{c} = -1" for c in cols), " + ".join(f"({c} = -1)::int" for c in cols)
+    good = f"(case when {bad} then {DOUBT} else {PRIOR} end)::double"
+    steps = [f"q0 as materialized (select *, {good} q_0, " + ", ".join(f"(1 - {good}) * case when {bad} then ({c} = -1)::int / ({each})::double else 1 / {m}::double end q_{j + 1}" for j, c in enumerate(cols)) + " from patterns)"]
     for k in range(1, ROUNDS + 1):
-        cells = ", ".join(f"(sum(n * (1 - q)) filter ({c} = {v})) b_{j}_{v + 1}, (sum(n * q) filter ({c} = {v})) g_{j}_{v + 1}" for j, c in enumerate(cols) for v in (-1, 0, 1))
-        steps.append(f"m{k} as materialized (select sum(n) t, sum(n * q) g, {cells} from q{k - 1})")
-        terms = " + ".join(
-            f"case {c} " + " ".join(f"when {v} then ln(((coalesce(g_{j}_{v + 1}, 0) + {SMOOTHING}) / (g + {3 * SMOOTHING})) / ((coalesce(b_{j}_{v + 1}, 0) + {SMOOTHING}) / (t - g + {3 * SMOOTHING})))" for v in (-1, 0, 1)) + " end" for j, c in enumerate(cols)
-        )
-        steps.append(f"q{k} as materialized (select {', '.join(cols)}, n, 1 / (1 + exp(-(ln((g + {SMOOTHING}) / (t - g + {SMOOTHING})) + {terms}))) q from q{k - 1}, m{k})")
+        cells = ", ".join(f"coalesce(sum(n * q_{c}), 0) s_{c}, " + ", ".join(f"(coalesce(sum(n * q_{c}) filter ({v} = 1), 0) + {SMOOTHING}) / (coalesce(sum(n * q_{c}) filter ({v} <> 0), 0) + {2 * SMOOTHING}) p_{c}_{j}" for j, v in enumerate(cols)) for c in range(m + 1))
+        steps.append(f"m{k} as materialized (select sum(n) t, {cells} from q{k - 1})")
+        e = ", ".join(f"exp(ln((s_{c} + {SMOOTHING}) / (t + {(m + 1) * SMOOTHING})) + " + " + ".join(f"case {v} when 1 then ln(p_{c}_{j}) when -1 then ln(1 - p_{c}_{j}) else 0 end" for j, v in enumerate(cols)) + f") e_{c}" for c in range(m + 1))
+        whole = " + ".join(f"e_{c}" for c in range(m + 1))
+        steps.append(f"e{k} as materialized (select {', '.join(cols)}, n, {e} from q{k - 1}, m{k})")
+        steps.append(f"q{k} as materialized (select {', '.join(cols)}, n, " + ", ".join(f"e_{c} / ({whole}) q_{c}" for c in range(m + 1)) + f" from e{k})")
     pipes = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')) n_pipes"
     count = lambda v: " + ".join(f"({c} = {v})::int" for c in cols)
     return f"""with cast_ as materialized (select doc_id, {rules} from (select doc_id, {MEASURES_SQL}, {pipes} from documents)),
 patterns as (select {', '.join(cols)}, count(*) n from cast_ group by all), {', '.join(steps)}
-select doc_id, ({count(1)})::int n_good, ({count(-1)})::int n_bad, round(q, 6) quality, round(q, 6) >= {THRESHOLD} keep from cast_ join q{ROUNDS} using ({', '.join(cols)})"""
+select doc_id, ({count(1)})::int n_good, ({count(-1)})::int n_bad, round(q_0, 6) quality, round(q_0, 6) >= {THRESHOLD} keep from cast_ join q{ROUNDS} using ({', '.join(cols)})"""
 
 
 ORACLE = _sql()

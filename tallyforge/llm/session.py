@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch sent to Python; texts are long, so the default of 10,000 is too many.
 ARROW_ROWS = 2000
@@ -45,3 +46,18 @@ def free_name(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+#: More rows than this are joined by a shuffle instead of a broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def hashed(*columns: str) -> Column:
+    """64-bit hash of a row's columns as strings; a null counts as a value of its own."""
+    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c).cast("string"))))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, written once, and marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
