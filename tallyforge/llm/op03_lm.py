@@ -78,7 +78,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     all documents and returns one sum per document in it. Contexts travel the same way but for hot ones, at
     most HOT, whose counts are broadcast. The number of buckets follows the number of words.
 
-    Rows of one id are one document, whose texts count each by itself. Rows without id are left out. A null or
+    Rows of one id are one document; each row's losses leave out its own counts, then they are added. Rows
+    without id are left out. A null or
     empty text, or one without words, has n_words 0 and null losses. Without labels the target model is
     uniform. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
@@ -183,13 +184,13 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 ORACLE = f"""with marks as (select doc_id from labels where doc_id is not null group by 1 having max(quality) = 1 and coalesce(max(toxic), 0) = 0),
-texts as (select row_number() over () r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') ws, (doc_id in (from marks))::int target from documents where doc_id is not null),
-toks as materialized (select doc_id, target, unnest(ws) w, unnest(list_prepend('', ws[:-2])) p from texts),
+texts as materialized (select row_number() over () r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') ws, (doc_id in (from marks))::int target from documents where doc_id is not null),
+toks as materialized (select r, target, unnest(ws) w, unnest(list_prepend('', ws[:-2])) p from texts),
 vocab as (select count(distinct w) v from toks),
-own2 as materialized (select doc_id, target, p, w, count(*) n from toks group by all),
-own1 as materialized (select doc_id, target, p, count(*) n from toks group by all),
+own2 as materialized (select r, target, p, w, count(*) n from toks group by all),
+own1 as materialized (select r, target, p, count(*) n from toks group by all),
 c2 as (select p, w, sum(n) c, sum(n * target) t from own2 group by all), c1 as (select p, sum(n) c, sum(n * target) t from own1 group by all),
-s2 as (select doc_id, sum(n) n, sum(n * ln(t - n * target + {ALPHA})) t, sum(n * ln(c - n + {ALPHA})) b from own2 join c2 using (p, w) group by 1),
-s1 as (select doc_id, sum(n * ln(t - n * target + {ALPHA} * v)) t, sum(n * ln(c - n + {ALPHA} * v)) b from own1 join c1 using (p), vocab group by 1)
-select d.doc_id, coalesce(s2.n, 0)::bigint n_words, round((s1.t - s2.t) / s2.n, 6) target_loss, round((s1.b - s2.b) / s2.n, 6) background_loss, round((s2.t - s1.t - s2.b + s1.b) / s2.n, 6) score
-from (select distinct doc_id from texts) d left join s2 using (doc_id) left join s1 using (doc_id)"""
+s2 as (select r, sum(n) n, sum(n * ln(t - n * target + {ALPHA})) t, sum(n * ln(c - n + {ALPHA})) b from own2 join c2 using (p, w) group by 1),
+s1 as (select r, sum(n * ln(t - n * target + {ALPHA} * v)) t, sum(n * ln(c - n + {ALPHA} * v)) b from own1 join c1 using (p), vocab group by 1),
+sums as (select doc_id, coalesce(sum(s2.n), 0) n, sum(s1.t - s2.t) t, sum(s1.b - s2.b) b from texts left join s2 using (r) left join s1 using (r) group by 1)
+select doc_id, n::bigint n_words, round(t / n, 6) target_loss, round(b / n, 6) background_loss, round((b - t) / n, 6) score from sums"""
