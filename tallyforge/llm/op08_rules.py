@@ -21,7 +21,7 @@ RULES = {
     "emptiness": "case when n_words = 0 then -1 else 0 end",
 }
 ROUNDS = 10
-PRIOR, DOUBT, SMOOTHING, THRESHOLD = 0.99, 0.1, 1.0, 0.5
+PRIOR, DOUBT, SMOOTHING, THRESHOLD = 0.99, 0.02, 0.1, 0.5
 NAMES = list(RULES)
 
 
@@ -40,7 +40,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float],
 
     Class 0 is good; class j + 1 is the defect that rule j is about, for texts are bad in different ways and
     the rules for one defect say little about another. An abstention says nothing. It starts by doubting what
-    has a vote for bad, and smooths every probability by SMOOTHING documents.
+    has a vote for bad, and smooths every probability by SMOOTHING of a document.
     """
     m = len(RULES)
     q = []
