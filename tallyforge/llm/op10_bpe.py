@@ -17,6 +17,8 @@ from tallyforge.llm.session import arrow_batches
 
 #: Bytes of text whose distinct words are encoded together.
 BLOCK = 16 << 20
+#: Bytes of text that are cut into words at a time.
+PIECE = 2 << 20
 #: Words of up to SHORT bytes keep the cuts between their pieces as bits of one integer.
 SHORT = 48
 #: Sizes of the two perfect hash tables that hold the rank map.
@@ -96,7 +98,7 @@ def short_fold(w: str, vocabulary: str) -> str:
     Candidates are the substrings that are tokens, as rank, start and end packed into one integer. The fold
     keeps the cuts between pieces as bits; a candidate whose ends are cuts, with just one cut between,
     takes that cut away. Taken in order of rank, one pass is the same as always choosing the lowest
-    candidate, except where a token's merge makes room for one of lower rank: then each step chooses anew.
+    candidate, unless it took a token whose merge can make room for one of lower rank: then each step chooses anew.
     """
     t = tables(vocabulary)
     slot = f"((cast(h & {SLOTS - 1} as int) + {t['shifts']}[cast(shiftright(h, {t['bits']}) & {BUCKETS - 1} as int)]) & {SLOTS - 1})"
@@ -106,10 +108,10 @@ def short_fold(w: str, vocabulary: str) -> str:
     inner, ends = (f"{t[k]}[cast(x & 4095 as int)]" for k in ("inner", "ends"))
     fits = f"(s & {ends}) = {ends} and bit_count(s & {inner}) = 1"
     start = f"shiftleft(2L, length({w})) - 1L"
-    once = f"aggregate(c, {start}, (s, x) -> if({fits}, s & ~{inner}, s))"
+    once = f"aggregate(c, {start}, (s, x) -> if({fits}, s & ~{inner} | shiftleft(x & 4096L, 48), s))"  # bit 60: it took such a token
     lowest = f"array_min(transform(c, x -> if({fits}, x, null)))"
-    anew = f"aggregate(c, {start}, (s, _) -> {let('x', lowest, f'if(x is null, s, s & ~{inner})')})"
-    cuts = let("c", candidates, f"if(exists(c, x -> (x & 4096) != 0), {anew}, {once})")
+    anew = f"aggregate(array_repeat(0, length({w}) - 1), {start}, (s, _) -> {let('x', lowest, f'if(x is null, s, s & ~{inner})')})"
+    cuts = let("c", candidates, let("o", once, f"if(shiftright(o, 60) = 0, o, {anew})"))
     at = f"filter(sequence(0, length({w})), p -> (shiftright(m, p) & 1L) = 1L)"
     names = f"transform(zip_with(p, slice(p, 2, size(p)), (a, b) -> xxhash64(substring({w}, a + 1, b - a))), h -> cast(shiftright({t['ranks']}[{slot}], 1) as int))"
     return let("m", cuts, let("p", at, f"slice({names}, 1, size(p) - 1)"))
@@ -167,7 +169,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         for table in tb.sized(batches, "text", BLOCK):
             column = table.column("text").combine_chunks()
             data, off = tb.flat(column)
-            begins, n_pre = tb.pretokens(data, off, classes)
+            cut = [tb.pretokens(*tb.flat(part.column("text").combine_chunks()), classes) for part in tb.sized(iter(table.to_batches()), "text", PIECE)]
+            n_pre = np.concatenate([n for _, n in cut])
+            heads = np.cumsum([0, *(len(n) for _, n in cut)])
+            begins = np.concatenate([b + off[i] for (b, _), i in zip(cut, heads)])
+            del cut
             words, word_off, code = tb.unique_pieces(data, begins, len(data)) if len(begins) else (np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int32))
             lists = pa.Array.from_buffers(pa.binary(), len(word_off) - 1, [None, pa.py_buffer(word_off.astype(np.int32)), pa.py_buffer(words)])
             ends = np.concatenate([[0], np.cumsum(n_pre)])
