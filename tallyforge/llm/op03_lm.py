@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tallyforge.llm import textbatch as tb
 from tallyforge.llm.session import arrow_batches, written
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Added to every count, in both models.
 ALPHA = 0.1
 #: Bigram occurrences, about, that one task counts at a time.
-BUCKET = 2_000_000
+BUCKET = 1_500_000
 #: Contexts that make up more than one in HOT of all; there can't be more than HOT of them.
 HOT = 10_000
 #: More target ids than this are joined by a shuffle instead of a broadcast.
