@@ -17,6 +17,8 @@ PHI = 0.6180339887498949
 #: Documents of one source that a window sorts at a time, about.
 SHARD = 20_000
 SEED = "mix-1"
+#: Points that the schedule may fall short of a source's share; the golden ratio's discrepancy is far less up to 10^15 points.
+SPARE = 16
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -49,7 +51,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
     totals = totals.where("w > 0").withColumn("blocks", F.ceil(F.col("tokens") / BLOCK)).withColumn("shards", F.ceil(F.col("docs") / SHARD).cast("bigint"))
     line = Window.orderBy("source")
     lines = totals.withColumns({"upto": F.sum("w").over(line), "whole": F.sum("w").over(Window.partitionBy())})
-    lines = written(lines.withColumn("least", F.ceil(F.col("blocks") * F.col("whole") / F.col("w")) + 4), "mix-lines")  # a few more than the share: the last block must be met
+    lines = written(lines.withColumn("least", F.ceil((F.col("blocks") + SPARE) * F.col("whole") / F.col("w"))), "mix-lines")
 
     slots_n = lines.agg(F.max("least")).first()[0] or 0
     shard = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * F.col("shards") / F.lit(1 << 32)).cast("bigint")
@@ -68,7 +70,9 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, id_col: s
     slots = slots.withColumn("stretch", F.floor(F.col("slot") / 100_000))
     before = slots.groupBy("source", "stretch").agg(F.count("*").alias("c")).withColumn("base", F.sum("c").over(Window.partitionBy("source").orderBy("stretch")) - F.col("c")).drop("c")
     ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("source", "stretch").orderBy("slot")) - 1).join(before, ["source", "stretch"]).withColumn("r", F.col("r") + F.col("base"))
-    ranked = ranked.select("slot", "source", (F.col("r") % F.col("blocks")).alias("block"), F.floor(F.col("r") / F.col("blocks")).alias("epoch"))
+    ranked = written(ranked, "mix-slots")
+    last = ranked.where("r = blocks - 1").agg(F.max("slot")).first()[0]
+    ranked = ranked.where(F.col("slot") <= F.lit(last)).select("slot", "source", (F.col("r") % F.col("blocks")).alias("block"), F.floor(F.col("r") / F.col("blocks")).alias("epoch"))
     return ranked.join(pieces, ["source", "block"]).select("slot", "source", F.col("block").cast("bigint").alias("block"), F.col("epoch").cast("bigint").alias("epoch"), "doc_id", "first_token", "last_token")
 
 
@@ -77,7 +81,8 @@ totals as (select source, sum(n) tokens, round(1e6 * pow(sum(n) / 1e6, {POWER}))
 lines as materialized (select *, sum(w) over (order by source) upto, sum(w) over () whole from totals),
 laid as (select source, doc_id, n, (sum(n) over (partition by source order by h, doc_id, n rows unbounded preceding) - n)::bigint begin_ from sized where n > 0),
 pieces as (select source, unnest(range(begin_ // {BLOCK}, (begin_ + n - 1) // {BLOCK} + 1)) block, doc_id, begin_, n from laid),
-slots as (select slot, (slot + 1)::double * {PHI} - floor((slot + 1)::double * {PHI}) x from range((select max(ceil(blocks * whole / w) + 4)::bigint from lines)) r(slot)),
-ranked as (select slot, source, row_number() over (partition by source order by slot) - 1 r, blocks from slots join lines on x * whole >= upto - w and x * whole < upto)
+slots as (select slot, (slot + 1)::double * {PHI} - floor((slot + 1)::double * {PHI}) x from range((select max(ceil((blocks + {SPARE}) * whole / w))::bigint from lines)) r(slot)),
+ranked as (select slot, source, row_number() over (partition by source order by slot) - 1 r, blocks from slots join lines on x * whole >= upto - w and x * whole < upto),
+last_ as (select max(slot) last from ranked where r = blocks - 1)
 select slot, ranked.source, (r % blocks)::bigint block, (r // blocks)::bigint epoch, doc_id, greatest(0, pieces.block * {BLOCK} - begin_)::bigint first_token, least(n - 1, (pieces.block + 1) * {BLOCK} - begin_ - 1)::bigint last_token
-from ranked join pieces on ranked.source = pieces.source and r % blocks = pieces.block"""
+from ranked join pieces on ranked.source = pieces.source and r % blocks = pieces.block and slot <= (select last from last_)"""
