@@ -104,7 +104,7 @@ def short_fold(w: str, vocabulary: str) -> str:
     slot = f"((cast(h & {SLOTS - 1} as int) + {t['shifts']}[cast(shiftright(h, {t['bits']}) & {BUCKETS - 1} as int)]) & {SLOTS - 1})"
     hashed = f"transform(q, x -> xxhash64(substring({w}, shiftright(x, 6) + 1, (x & 63) - shiftright(x, 6))))"
     found = f"zip_with(q, {hashed}, (x, h) -> if({t['hashes']}[{slot}] = h, shiftleft({t['ranks']}[{slot}], 12) | x, null))"
-    candidates = let("q", f"{t['spans']}[length({w})]", f"array_sort(filter({found}, x -> x is not null))")
+    candidates = let("q", f"{t['spans']}[length({w})]", f"sort_array(filter({found}, x -> x is not null))")
     inner, ends = (f"{t[k]}[cast(x & 4095 as int)]" for k in ("inner", "ends"))
     fits = f"(s & {ends}) = {ends} and bit_count(s & {inner}) = 1"
     start = f"shiftleft(2L, length({w})) - 1L"
