@@ -1,0 +1,167 @@
+"""Descriptive statistics and hypothesis tests; each takes a DataFrame and returns a small one."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallyforge.functions import distributions as dist
+
+
+def one(df: DataFrame, /, **values: float) -> DataFrame:
+    return df.sparkSession.createDataFrame([{k: float(v) for k, v in values.items()}])
+
+
+def moments(df: DataFrame, value: str) -> dict[str, float]:
+    """n, mean and central moments m2, m3, m4 (divided by n), from two passes."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, mean = x.agg(F.count("*"), F.avg("x")).first()
+    d = F.col("x") - F.lit(mean)
+    m2, m3, m4 = x.agg(F.avg(d * d), F.avg(d * d * d), F.avg(d * d * d * d)).first() if n else (None,) * 3
+    return {"n": n, "mean": mean, "m2": m2, "m3": m3, "m4": m4}
+
+
+def describe(df: DataFrame, value: str) -> DataFrame:
+    """One row: count, missing, mean, std, coefficient of variation, quartiles by interpolation, min, max, skewness and kurtosis (3 for a normal)."""
+    m = moments(df, value)
+    x = F.col(value).cast("double")
+    ok = x.isNotNull() & ~F.isnan(x)
+    q = df.where(ok).agg(*(F.percentile(x, p).alias(f"p{int(100 * p)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)), F.min(x).alias("min"), F.max(x).alias("max")).first()
+    missing = df.where(~ok | x.isNull()).count()
+    s = math.sqrt(m["m2"] * m["n"] / (m["n"] - 1))
+    return one(df, nobs=m["n"], missing=missing, mean=m["mean"], std=s, coef_var=s / m["mean"], skew=m["m3"] / m["m2"] ** 1.5, kurtosis=m["m4"] / m["m2"] ** 2, **q.asDict())
+
+
+def weighted(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """Weighted mean, variance (ddof 0) and the standard deviation of the mean."""
+    x, w = F.col(value), F.col(weight)
+    total, mean = df.agg(F.sum(w), F.sum(w * x) / F.sum(w)).first()
+    var = df.agg(F.sum(w * (x - F.lit(mean)) * (x - F.lit(mean)))).first()[0] / total
+    return one(df, sum_weights=total, mean=mean, var=var, std_mean=math.sqrt(var / (total - 1)))
+
+
+def by_group(df: DataFrame, value: str, group: str) -> list[tuple]:
+    """(group, n, mean, sample variance), ordered by group."""
+    return sorted(tuple(r) for r in df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(value), F.avg(value), F.var_samp(value)).collect())
+
+
+def ttest_ind(df: DataFrame, value: str, group: str, a, b, pooled: bool = True) -> DataFrame:
+    """Student's (pooled) or Welch's t of two groups."""
+    g = {r[0]: r[1:] for r in by_group(df.where(F.col(group).isin(a, b)), value, group)}
+    (n1, m1, v1), (n2, m2, v2) = g[a], g[b]
+    if pooled:
+        dof = n1 + n2 - 2
+        se = math.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof * (1 / n1 + 1 / n2))
+    else:
+        se = math.sqrt(v1 / n1 + v2 / n2)
+        dof = se**4 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))
+    t = (m1 - m2) / se
+    return one(df, tstat=t, df=dof, pvalue=2 * dist.t_sf(abs(t), dof))
+
+
+def ztest_one(df: DataFrame, value: str, mean: float) -> DataFrame:
+    n, m, v = df.agg(F.count(value), F.avg(value), F.var_samp(value)).first()
+    z = (m - mean) / math.sqrt(v / n)
+    return one(df, zstat=z, pvalue=2 * dist.norm_sf(abs(z)))
+
+
+def oneway(df: DataFrame, value: str, group: str, kind: str = "equal") -> DataFrame:
+    """F of group means: variances equal, unequal (Welch) or Brown and Forsythe's."""
+    g = by_group(df, value, group)
+    k, n = len(g), sum(r[1] for r in g)
+    grand = sum(r[1] * r[2] for r in g) / n
+    between = sum(r[1] * (r[2] - grand) ** 2 for r in g)
+    if kind == "equal":
+        f, d1, d2 = between / (k - 1) / (sum((r[1] - 1) * r[3] for r in g) / (n - k)), k - 1, n - k
+    elif kind == "unequal":
+        w = [r[1] / r[3] for r in g]
+        total = sum(w)
+        centre = sum(a * r[2] for a, r in zip(w, g)) / total
+        off = sum((1 - a / total) ** 2 / (r[1] - 1) for a, r in zip(w, g))
+        f = sum(a * (r[2] - centre) ** 2 for a, r in zip(w, g)) / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * off)
+        d1, d2 = k - 1, (k * k - 1) / (3 * off)
+    else:
+        parts = [(1 - r[1] / n) * r[3] for r in g]
+        f, d1 = between / sum(parts), k - 1
+        d2 = sum(parts) ** 2 / sum(p * p / (r[1] - 1) for p, r in zip(parts, g))
+    return one(df, statistic=f, df_num=d1, df_denom=d2, pvalue=dist.f_sf(f, d1, d2))
+
+
+def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Differences of all pairs of group means with the pooled standard error of Tukey and Kramer."""
+    g = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
+    s = g.agg((F.sum(F.expr("(n - 1) * v")) / F.sum(F.expr("n - 1"))).alias("s2"))
+    a, b = (g.select(*(F.col(c).alias(f"{c}{i}") for c in "gnm")) for i in (1, 2))
+    return a.join(b, F.col("g1") < F.col("g2")).crossJoin(s).select(F.col("g1").alias("group1"), F.col("g2").alias("group2"), F.expr("m2 - m1").alias("meandiff"), F.expr("sqrt(s2 / 2 * (1 / n1 + 1 / n2))").alias("std_pair"))
+
+
+def proportions_ztest(df: DataFrame, success: str, group: str) -> DataFrame:
+    """z of two groups' shares of rows where success holds, with the pooled variance."""
+    g = sorted(tuple(r) for r in df.groupBy(group).agg(F.count("*"), F.count_if(F.expr(success))).collect())
+    (_, n1, c1), (_, n2, c2) = g
+    p = (c1 + c2) / (n1 + n2)
+    z = (c1 / n1 - c2 / n2) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
+    return one(df, prop1=c1 / n1, prop2=c2 / n2, zstat=z, pvalue=2 * dist.norm_sf(abs(z)))
+
+
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Chi-square of independence of two categories."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").cast("double").alias("n")).collect()
+    rows, cols = {}, {}
+    for x, y, n in cells:
+        rows[x], cols[y] = rows.get(x, 0) + n, cols.get(y, 0) + n
+    total, seen = sum(rows.values()), {(x, y): n for x, y, n in cells}
+    chi = sum((seen.get((x, y), 0) - rows[x] * cols[y] / total) ** 2 / (rows[x] * cols[y] / total) for x in sorted(rows) for y in sorted(cols))
+    dof = (len(rows) - 1) * (len(cols) - 1)
+    return one(df, statistic=chi, df=dof, pvalue=dist.chi2_sf(chi, dof) if dof else 1.0)
+
+
+def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Agreement of two raters beyond chance."""
+    cells = [tuple(r) for r in df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).count().collect()]
+    n = sum(c for *_, c in cells)
+    share = lambda k, v: sum(r[2] for r in cells if r[k] == v) / n
+    same, chance = sum(c for x, y, c in cells if x == y) / n, sum(share(0, v) * share(1, v) for v in sorted({x for x, *_ in cells} | {y for _, y, _ in cells}))
+    return one(df, agreement=same, chance=chance, kappa=(same - chance) / (1 - chance))
+
+
+def jarque_bera(df: DataFrame, value: str) -> DataFrame:
+    m = moments(df, value)
+    skew, kurt = m["m3"] / m["m2"] ** 1.5, m["m4"] / m["m2"] ** 2
+    jb = m["n"] / 6 * (skew**2 + (kurt - 3) ** 2 / 4)
+    return one(df, jb=jb, pvalue=dist.chi2_sf(jb, 2), skew=skew, kurtosis=kurt)
+
+
+def multipletests(df: DataFrame, p: str, method: str = "bh") -> DataFrame:
+    """Adjusted p-values: bonferroni, holm or bh (Benjamini and Hochberg). Adds rank_ and p_adjusted; rows without p are left out."""
+    x = df.where(F.col(p).isNotNull())
+    total = Window.partitionBy()
+    x = x.withColumns({"rank_": F.row_number().over(Window.orderBy(p)), "m_": F.count("*").over(total)})
+    if method == "bonferroni":
+        adjusted = F.col(p) * F.col("m_")
+    elif method == "holm":
+        adjusted = F.max(F.col(p) * (F.col("m_") - F.col("rank_") + 1)).over(Window.orderBy("rank_").rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        adjusted = F.min(F.col(p) * F.col("m_") / F.col("rank_")).over(Window.orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("p_adjusted", F.least(F.lit(1.0), adjusted)).drop("m_")
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the rank of value, ties averaged: ranks come from counts of distinct values, not from a sort of all rows."""
+    counts = df.groupBy(value).agg(F.count("*").alias("c_"))
+    upto = F.sum("c_").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return df.join(counts.select(value, (upto - (F.col("c_") - 1) / 2).alias(name)), value)
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    x = average_ranks(average_ranks(df.select(a, b).na.drop(), a, "ra_"), b, "rb_")
+    return x.agg(F.count("*").alias("n"), F.corr("ra_", "rb_").alias("rho"))
+
+
+def ecdf(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values with the share of rows up to each."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("c"))
+    return counts.select("x", (F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("c").over(Window.partitionBy())).alias("y"))

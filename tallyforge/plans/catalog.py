@@ -1,3 +1,297 @@
-"""Queries of the statistical operators and their DuckDB SQL."""
+"""Queries of the statistical operators over whole tables and their DuckDB SQL."""
 
-QUERIES, ORACLES = {}, {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.operators import regression, series, smooth, survival, tests
+from tallyforge.sources.tables import table
+from tallyforge.streaming.windows import windowed_ols
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, places: int) -> DataFrame:
+    """Doubles rounded; sums over partitions differ in their last digits."""
+    return df.select(*((F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(name: str, sql: str | None = None, places: int = 6):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = lambda s, d: rounded(f(s, d), places)
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def lineitem(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return table(s, d, "lineitem", *columns)
+
+
+def daily(s: SparkSession, d: str) -> DataFrame:
+    """Orders' mean price per day: the series of the time-series queries."""
+    return table(s, d, "orders", "o_orderdate", "o_totalprice").groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.count("*") / 100000).alias("x"))
+
+
+DAILY = "daily as (select o_orderdate::date::varchar as day, sum(round(o_totalprice * 100)::bigint) / count(*) / 100000 x from orders group by 1)"
+LIFE = "life as (select datediff('day', o_orderdate, l_shipdate) t, (l_returnflag = 'R')::int e, l_linestatus g from lineitem join orders on o_orderkey = l_orderkey)"
+
+
+def life(s: SparkSession, d: str) -> DataFrame:
+    """Days from order to shipment, with returned items as events."""
+    o = table(s, d, "orders", "o_orderkey", "o_orderdate")
+    li = lineitem(s, d, "l_orderkey", "l_shipdate", "l_returnflag", "l_linestatus")
+    return li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).select(F.date_diff("l_shipdate", "o_orderdate").alias("t"), (F.col("l_returnflag") == "R").cast("int").alias("e"), F.col("l_linestatus").alias("g"))
+
+
+@query("ols_coefficients", places=4)
+def _(s, d):
+    return regression.linear(lineitem(s, d, "l_extendedprice", "l_quantity", "l_discount", "l_returnflag"), "l_extendedprice ~ l_quantity + l_discount + C(l_returnflag)").coef
+
+
+CLOSED = """with a as (select avg(l_quantity) mx, avg(l_extendedprice) my, count(*) n from lineitem),
+b as (select n, mx, my, sum((l_quantity - mx) ^ 2) sxx, sum((l_quantity - mx) * (l_extendedprice - my)) sxy, sum((l_extendedprice - my) ^ 2) syy from lineitem, a group by all),
+c as (select *, sxy / sxx slope, my - sxy / sxx * mx icept from b)"""
+
+
+@query("ols_simple", CLOSED + """ select 'Intercept' term, round(icept, 4) coef, round(sqrt((syy - slope * sxy) / (n - 2) * (1 / n + mx * mx / sxx)), 4) std_err, round(icept / sqrt((syy - slope * sxy) / (n - 2) * (1 / n + mx * mx / sxx)), 4) stat from c
+union all select 'l_quantity', round(slope, 4), round(sqrt((syy - slope * sxy) / (n - 2) / sxx), 4), round(slope / sqrt((syy - slope * sxy) / (n - 2) / sxx), 4) from c""", 4)
+def _(s, d):
+    return regression.linear(lineitem(s, d, "l_extendedprice", "l_quantity"), "l_extendedprice ~ l_quantity").coef.select("term", "coef", "std_err", "stat")
+
+
+for _hc, _factor, _power in (("HC0", "1", 0), ("HC1", "n / (n - 2)", 0), ("HC2", "1", 1), ("HC3", "1", 2)):
+
+    @query(f"ols_{_hc.lower()}", CLOSED + f""", d as (select *, l_extendedprice - icept - slope * l_quantity e, 1 / n + (l_quantity - mx) ^ 2 / sxx h, l_quantity - mx dx from lineitem, c)
+select 'l_quantity' term, round(sqrt(sum(e * e * dx * dx / (1 - h) ^ {_power}) / any_value(sxx) ^ 2 * any_value({_factor})), 6) std_err from d""")
+    def _(s, d, hc=_hc):
+        return regression.linear(lineitem(s, d, "l_extendedprice", "l_quantity"), "l_extendedprice ~ l_quantity", cov=hc).coef.where("term = 'l_quantity'").select("term", "std_err")
+
+
+@query("ols_two", """with a as (select avg(l_quantity) m1, avg(l_discount) m2, avg(l_extendedprice) my from lineitem),
+b as (select sum((l_quantity - m1) ^ 2) s11, sum((l_discount - m2) ^ 2) s22, sum((l_quantity - m1) * (l_discount - m2)) s12, sum((l_quantity - m1) * (l_extendedprice - my)) s1, sum((l_discount - m2) * (l_extendedprice - my)) s2 from lineitem, a)
+select 'l_quantity' term, round((s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12), 4) coef from b union all select 'l_discount', round((s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12), 4) from b""", 4)
+def _(s, d):
+    return regression.linear(lineitem(s, d, "l_extendedprice", "l_quantity", "l_discount"), "l_extendedprice ~ l_quantity + l_discount").coef.where("term <> 'Intercept'").select("term", "coef")
+
+
+@query("wls_simple", """with a as (select sum(l_quantity * l_discount) / sum(l_quantity) mx, sum(l_quantity * l_extendedprice) / sum(l_quantity) my from lineitem)
+select 'l_discount' term, round(sum(l_quantity * (l_discount - mx) * (l_extendedprice - my)) / sum(l_quantity * (l_discount - mx) ^ 2), 4) coef from lineitem, a""", 4)
+def _(s, d):
+    return regression.linear(lineitem(s, d, "l_extendedprice", "l_quantity", "l_discount"), "l_extendedprice ~ l_discount", weights="l_quantity").coef.where("term = 'l_discount'").select("term", "coef")
+
+
+@query("ols_dummy", "with m as (select l_returnflag f, avg(l_extendedprice) a from lineitem group by 1) select case when f = 'A' then 'Intercept' else 'C(l_returnflag)[T.' || f || ']' end term, round(a - case when f = 'A' then 0 else (select a from m where f = 'A') end, 4) coef from m", 4)
+def _(s, d):
+    return regression.linear(lineitem(s, d, "l_extendedprice", "l_returnflag"), "l_extendedprice ~ C(l_returnflag)").coef.select("term", "coef")
+
+
+@query("ols_model_stats", CLOSED + " select n::double nobs, round(slope * sxy / syy, 9) rsquared, round(slope * sxy / ((syy - slope * sxy) / (n - 2)), 9) fvalue, round(-n / 2 * ln(syy - slope * sxy) - n / 2 * (1 + ln(2 * pi() / n)), 3) llf from c", 9)
+def _(s, d):
+    m = regression.linear(lineitem(s, d, "l_extendedprice", "l_quantity"), "l_extendedprice ~ l_quantity").model_stats
+    return m.select("nobs", "rsquared", "fvalue", F.round("llf", 3).alias("llf"))
+
+
+def _saturated(y: str, link: str) -> str:
+    return f"with m as (select l_linestatus f, {link.format(m=f'avg({y})')} a from lineitem group by 1) select case when f = 'F' then 'Intercept' else 'C(l_linestatus)[T.' || f || ']' end term, round(a - case when f = 'F' then 0 else (select a from m where f = 'F') end, 6) coef from m"
+
+
+@query("logit_saturated", _saturated("(l_returnflag = 'R')::int", "ln({m} / (1 - {m}))"))
+def _(s, d):
+    df = lineitem(s, d, "l_returnflag", "l_linestatus").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    return regression.glm(df, "y ~ C(l_linestatus)", "binomial").coef.select("term", "coef")
+
+
+@query("poisson_saturated", _saturated("l_quantity", "ln({m})"))
+def _(s, d):
+    return regression.glm(lineitem(s, d, "l_quantity", "l_linestatus"), "l_quantity ~ C(l_linestatus)", "poisson").coef.select("term", "coef")
+
+
+@query("gamma_saturated", _saturated("l_quantity", "1 / {m}"), 6)
+def _(s, d):
+    return regression.glm(lineitem(s, d, "l_quantity", "l_linestatus"), "l_quantity ~ C(l_linestatus)", "gamma").coef.select("term", "coef")
+
+
+@query("glm_poisson", places=5)
+def _(s, d):
+    return regression.glm(lineitem(s, d, "l_quantity", "l_discount", "l_tax", "l_returnflag"), "l_quantity ~ l_discount + l_tax + C(l_returnflag)", "poisson").coef
+
+
+@query("describe_price", """with m as (select avg(l_extendedprice) mu from lineitem), c as (select avg((l_extendedprice - mu) ^ 2) m2, avg((l_extendedprice - mu) ^ 3) m3, avg((l_extendedprice - mu) ^ 4) m4 from lineitem, m)
+select count(*)::double nobs, 0.0::double missing, round(avg(l_extendedprice), 6) mean, round(stddev_samp(l_extendedprice), 6) std, round(stddev_samp(l_extendedprice) / avg(l_extendedprice), 6) coef_var,
+ round((select m3 / m2 ^ 1.5 from c), 6) skew, round((select m4 / m2 ^ 2 from c), 6) kurtosis, round(quantile_cont(l_extendedprice, 0.05), 6) p5, round(quantile_cont(l_extendedprice, 0.25), 6) p25, round(quantile_cont(l_extendedprice, 0.5), 6) p50,
+ round(quantile_cont(l_extendedprice, 0.75), 6) p75, round(quantile_cont(l_extendedprice, 0.95), 6) p95, min(l_extendedprice) min, max(l_extendedprice) max from lineitem""")
+def _(s, d):
+    return tests.describe(lineitem(s, d, "l_extendedprice"), "l_extendedprice")
+
+
+@query("weighted_mean_var", "with m as (select sum(l_quantity * l_discount) / sum(l_quantity) mu, sum(l_quantity) w from lineitem) select any_value(w) sum_weights, round(any_value(mu), 9) mean, round(sum(l_quantity * (l_discount - mu) ^ 2) / any_value(w), 9) var, round(sqrt(sum(l_quantity * (l_discount - mu) ^ 2) / any_value(w) / (any_value(w) - 1)), 9) std_mean from lineitem, m", 9)
+def _(s, d):
+    return tests.weighted(lineitem(s, d, "l_discount", "l_quantity"), "l_discount", "l_quantity")
+
+
+_TWO = "with g as (select count(*) filter (l_returnflag = 'A') n1, count(*) filter (l_returnflag = 'R') n2, avg(l_extendedprice) filter (l_returnflag = 'A') m1, avg(l_extendedprice) filter (l_returnflag = 'R') m2, var_samp(l_extendedprice) filter (l_returnflag = 'A') v1, var_samp(l_extendedprice) filter (l_returnflag = 'R') v2 from lineitem)"
+
+
+@query("ttest_ind_pooled", _TWO + " select round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 6) tstat, (n1 + n2 - 2)::double df from g")
+def _(s, d):
+    return tests.ttest_ind(lineitem(s, d, "l_extendedprice", "l_returnflag"), "l_extendedprice", "l_returnflag", "A", "R").select("tstat", "df")
+
+
+@query("ttest_ind_welch", _TWO + " select round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 6) tstat, round((v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)), 4) df from g")
+def _(s, d):
+    return tests.ttest_ind(lineitem(s, d, "l_extendedprice", "l_returnflag"), "l_extendedprice", "l_returnflag", "A", "R", pooled=False).select("tstat", F.round("df", 4).alias("df"))
+
+
+@query("ztest_one", "select round((avg(c_acctbal) - 4500) / sqrt(var_samp(c_acctbal) / count(*)), 6) zstat from customer")
+def _(s, d):
+    return tests.ztest_one(table(s, d, "customer", "c_acctbal"), "c_acctbal", 4500).select("zstat")
+
+
+_GROUPS = "with g as (select c_mktsegment, count(*) n, avg(c_acctbal) m, var_samp(c_acctbal) v from customer group by 1), t as (select sum(n) nn, count(*) k, sum(n * m) / sum(n) mu from g)"
+
+
+@query("f_oneway", _GROUPS + " select round(sum(n * (m - mu) ^ 2) / (any_value(k) - 1) / (sum((n - 1) * v) / (any_value(nn) - any_value(k))), 6) statistic, (any_value(k) - 1)::double df_num, (any_value(nn) - any_value(k))::double df_denom from g, t")
+def _(s, d):
+    return tests.oneway(table(s, d, "customer", "c_acctbal", "c_mktsegment"), "c_acctbal", "c_mktsegment").select("statistic", "df_num", "df_denom")
+
+
+@query("anova_bf", _GROUPS + " select round(sum(n * (m - mu) ^ 2) / sum((1 - n / nn) * v), 6) statistic, round(sum((1 - n / nn) * v) ^ 2 / sum(((1 - n / nn) * v) ^ 2 / (n - 1)), 6) df_denom from g, t")
+def _(s, d):
+    return tests.oneway(table(s, d, "customer", "c_acctbal", "c_mktsegment"), "c_acctbal", "c_mktsegment", "bf").select("statistic", "df_denom")
+
+
+@query("anova_welch", _GROUPS + ", w as (select *, n / v w, sum(n / v) over () tw, sum(n / v * m) over () / sum(n / v) over () c from g, t) select round(sum(w * (m - c) ^ 2) / (any_value(k) - 1) / (1 + 2 * (any_value(k) - 2) / (any_value(k) ^ 2 - 1) * sum((1 - w / tw) ^ 2 / (n - 1))), 6) statistic, round((any_value(k) ^ 2 - 1) / (3 * sum((1 - w / tw) ^ 2 / (n - 1))), 6) df_denom from w")
+def _(s, d):
+    return tests.oneway(table(s, d, "customer", "c_acctbal", "c_mktsegment"), "c_acctbal", "c_mktsegment", "unequal").select("statistic", "df_denom")
+
+
+@query("tukey_pairs", _GROUPS + ", s as (select sum((n - 1) * v) / sum(n - 1) s2 from g) select a.c_mktsegment group1, b.c_mktsegment group2, round(b.m - a.m, 6) meandiff, round(sqrt(s2 / 2 * (1 / a.n + 1 / b.n)), 6) std_pair from g a join g b on a.c_mktsegment < b.c_mktsegment, s")
+def _(s, d):
+    return tests.pairwise(table(s, d, "customer", "c_acctbal", "c_mktsegment"), "c_acctbal", "c_mktsegment")
+
+
+@query("prop_ztest", "with g as (select count(*) filter (l_linestatus = 'F') n1, count(*) filter (l_linestatus = 'O') n2, count(*) filter (l_linestatus = 'F' and l_returnflag = 'R') c1, count(*) filter (l_linestatus = 'O' and l_returnflag = 'R') c2 from lineitem) select round(c1 / n1, 6) prop1, round(c2 / n2, 6) prop2, round((c1 / n1 - c2 / n2) / sqrt((c1 + c2) / (n1 + n2) * (1 - (c1 + c2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) zstat from g")
+def _(s, d):
+    return tests.proportions_ztest(lineitem(s, d, "l_returnflag", "l_linestatus"), "l_returnflag = 'R'", "l_linestatus").select("prop1", "prop2", "zstat")
+
+
+@query("chi2_contingency", "with c as (select l_returnflag a, l_linestatus b, count(*) n from lineitem group by all), e as (select n, sum(n) over (partition by a) * sum(n) over (partition by b) / sum(n) over () x, (select (count(distinct a) - 1) * (count(distinct b) - 1) from c) df from c) select round(sum((n - x) ^ 2 / x), 6) statistic, any_value(df)::double df from e")
+def _(s, d):
+    return tests.contingency(lineitem(s, d, "l_returnflag", "l_linestatus"), "l_returnflag", "l_linestatus").select("statistic", "df")
+
+
+@query("cohens_kappa", "with p as (select avg((quality = toxic)::int) po, avg(quality) q, avg(toxic) t from labels where quality is not null and toxic is not null) select round(po, 6) agreement, round(q * t + (1 - q) * (1 - t), 6) chance, round((po - q * t - (1 - q) * (1 - t)) / (1 - q * t - (1 - q) * (1 - t)), 6) kappa from p")
+def _(s, d):
+    return tests.cohens_kappa(table(s, d, "labels", "quality", "toxic"), "quality", "toxic")
+
+
+@query("jarque_bera", "with m as (select avg(o_totalprice) mu from orders), c as (select count(*) n, avg((o_totalprice - mu) ^ 2) m2, avg((o_totalprice - mu) ^ 3) m3, avg((o_totalprice - mu) ^ 4) m4 from orders, m) select round(n / 6 * (m3 ^ 2 / m2 ^ 3 + (m4 / m2 ^ 2 - 3) ^ 2 / 4), 4) jb, round(m3 / m2 ^ 1.5, 6) skew, round(m4 / m2 ^ 2, 6) kurtosis from c")
+def _(s, d):
+    return tests.jarque_bera(table(s, d, "orders", "o_totalprice"), "o_totalprice").select(F.round("jb", 4).alias("jb"), "skew", "kurtosis")
+
+
+for _method, _sql in (("bonferroni", "p * m"), ("holm", "max(p * (m - r + 1)) over (order by r rows unbounded preceding)"), ("bh", "min(p * m / r) over (order by r desc rows unbounded preceding)")):
+
+    @query(f"multipletests_{_method}", f"with x as (select p_partkey, p_retailprice / (select max(p_retailprice) from part) * 0.05 + p_partkey * 1e-9 p from part), r as (select *, row_number() over (order by p) r, count(*) over () m from x) select p_partkey, round(least(1.0, {_sql}), 6) p_adjusted from r")
+    def _(s, d, method=_method):
+        part = table(s, d, "part", "p_partkey", "p_retailprice")
+        top = part.agg(F.max("p_retailprice")).first()[0]
+        return tests.multipletests(part.select("p_partkey", (F.col("p_retailprice") / F.lit(top) * 0.05 + F.col("p_partkey") * 1e-9).alias("p")), "p", method).select("p_partkey", "p_adjusted")
+
+
+@query("spearman", "with r as (select rank() over (order by s_acctbal) + (count(*) over (partition by s_acctbal) - 1) / 2 a, rank() over (order by s_nationkey) + (count(*) over (partition by s_nationkey) - 1) / 2 b from supplier) select count(*) n, round(corr(a, b), 6) rho from r")
+def _(s, d):
+    return tests.spearman(table(s, d, "supplier", "s_acctbal", "s_nationkey"), "s_acctbal", "s_nationkey")
+
+
+@query("ecdf", "select distinct p_retailprice x, round(cume_dist() over (order by p_retailprice), 6) y from part")
+def _(s, d):
+    return tests.ecdf(table(s, d, "part", "p_retailprice"), "p_retailprice")
+
+
+@query("lagmat", f"with {DAILY} select day, round(x, 6) x, round(lag(x, 1) over (order by day), 6) x_l1, round(lag(x, 2) over (order by day), 6) x_l2 from daily")
+def _(s, d):
+    return series.lagmat(daily(s, d), "x", "day", 2)
+
+
+@query("acf", f"with {DAILY}, m as (select *, x - avg(x) over () d, row_number() over (order by day) i, count(*) over () n from daily), v as (select sum(d * d) v0, any_value(n) n from m), r as (select k::int k, sum(a.d * b.d) s from range(6) t(k) join m a on true join m b on b.i = a.i - k group by 1), z as (select k, s / n acovf, s / v0 acf, case when k > 0 then n * (n + 2) * (s / v0) ^ 2 / (n - k) else 0 end q from r, v) select k lag, round(acovf, 6) acovf, round(acf, 6) acf, round(sum(q) over (order by k rows unbounded preceding), 6) ljung_box from z")
+def _(s, d):
+    return series.acf(daily(s, d), "x", "day", 5)
+
+
+@query("durbin_watson", f"with {DAILY}, c as (select x - (select avg(x) from daily) e, day from daily), p as (select e, lag(e) over (order by day) p from c) select round(sum((e - p) ^ 2) / sum(e * e), 6) dw from p")
+def _(s, d):
+    x = daily(s, d)
+    return series.durbin_watson(x.withColumn("e", F.col("x") - F.lit(x.agg(F.avg("x")).first()[0])), "e", "day")
+
+
+@query("seasonal_decompose_7", f"with {DAILY}, i as (select day, x, row_number() over (order by day) - 1 i, case when count(*) over w = 7 then avg(x) over w end trend from daily window w as (order by day rows between 3 preceding and 3 following)), s as (select i % 7 p, avg(x - trend) s from i group by 1), c as (select p, s - (select avg(s) from s) s from s) select day, round(x, 6) x, round(trend, 6) trend, round(s, 6) seasonal, round(x - trend - s, 6) resid from i join c on p = i % 7")
+def _(s, d):
+    return series.seasonal_decompose(daily(s, d), "x", "day", 7)
+
+
+@query("rolling_ols", f"with {DAILY}, j as (select day, x, lag(x) over (order by day) p from daily), k as (select * from j where p is not null) select day, round(case when count(*) over w = 30 then covar_pop(x, p) over w / var_pop(p) over w end, 6) slope, round(case when count(*) over w = 30 then avg(x) over w - covar_pop(x, p) over w / var_pop(p) over w * avg(p) over w end, 6) intercept from k window w as (order by day rows between 29 preceding and current row)")
+def _(s, d):
+    return series.rolling_ols(series.lagmat(daily(s, d), "x", "day", 1).na.drop(), "x", "x_l1", "day", 30)
+
+
+@query("kpss", f"with {DAILY}, c as (select day, x - avg(x) over () d, count(*) over () n from daily), z as (select d, n, sum(d) over w s, lag(d, 1) over w a, lag(d, 2) over w b from c window w as (order by day rows between unbounded preceding and current row)) select round(sum(s * s) / any_value(n) / any_value(n) / ((sum(d * d) + 2 * (2 / 3 * sum(d * a) + 1 / 3 * sum(d * b))) / any_value(n)), 6) statistic, 2 lags from z")
+def _(s, d):
+    return series.kpss(daily(s, d), "x", "day", 2)
+
+
+@query("smoothing_fixed_alpha", "with recursive e as (select event_type k, event_id i, value v, row_number() over (partition by event_type order by event_id) r from events where value is not null), t as (select k, i, v, r, v::double level from e where r = 1 union all select e.k, e.i, e.v, e.r, 0.3 * e.v + 0.7 * t.level from t join e on e.k = t.k and e.r = t.r + 1) select k event_type, i event_id, round(v, 6) \"value\", round(level, 6) level from t")
+def _(s, d):
+    return series.smoothing(table(s, d, "events", "event_type", "event_id", "value").where("value is not null"), "value", "event_id", 0.3, "event_type")
+
+
+@query("kaplan_meier", f"with {LIFE}, a as (select t::double t, sum(e)::bigint d, count(*) c from life group by 1), b as (select *, sum(c) over (order by t desc rows unbounded preceding)::bigint n from a), f as (select * from b where d > 0), g as (select t, n, d, exp(sum(case when d < n then ln(1 - d / n) else 0 end) over w) * (1 - max((d = n)::int) over w) s, sum(case when n > d then d / (n * (n - d)) end) over w g from f window w as (order by t rows unbounded preceding)) select t, n n_risk, d n_events, round(s, 6) surv, round(s * sqrt(g), 6) std_err from g")
+def _(s, d):
+    return survival.kaplan_meier(life(s, d), "t", "e")
+
+
+@query("logrank", f"with {LIFE}, a as (select t, sum(e) d, sum(e * (g = 'F')::int) d1, count(*) c, sum((g = 'F')::int) c1 from life group by 1), b as (select d, d1, sum(c) over w n, sum(c1) over w n1 from a window w as (order by t desc rows unbounded preceding)), f as (select sum(d1 - d * n1 / n) u, sum(case when n > 1 then d * (n1 / n) * (1 - n1 / n) * (n - d) / (n - 1) else 0 end) v from b where d > 0) select round(u * u / v, 6) chi2 from f")
+def _(s, d):
+    return survival.logrank(life(s, d), "t", "e", "g").select("chi2")
+
+
+_GRID = [900.0 + 50 * i for i in range(25)]
+
+
+@query("kde_fixed_bw", f"select x, round(sum(exp(-0.5 * ((x - p_retailprice) / 40) ^ 2)) / (count(*) * 40 * sqrt(2 * pi())), 9) density from part, (select unnest({_GRID})::double x) group by 1", 9)
+def _(s, d):
+    return smooth.kde(table(s, d, "part", "p_retailprice"), "p_retailprice", _GRID, 40.0)
+
+
+@query("hist_bins", "select least(floor(l_quantity / 5), 9)::int bin, count(*) n from lineitem where l_quantity between 0 and 50 group by 1")
+def _(s, d):
+    return smooth.histogram(lineitem(s, d, "l_quantity"), "l_quantity", 0.0, 5.0, 10)
+
+
+@query("box_stats", "with q as (select l_returnflag, quantile_cont(l_extendedprice, 0.25) q1, quantile_cont(l_extendedprice, 0.5) med, quantile_cont(l_extendedprice, 0.75) q3 from lineitem group by 1), x as (select *, l_extendedprice between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) ok from lineitem join q using (l_returnflag)) select l_returnflag, round(q1, 6) q1, round(med, 6) med, round(q3, 6) q3, min(l_extendedprice) filter (ok) whisker_low, max(l_extendedprice) filter (ok) whisker_high, count(*) filter (not ok) outliers from x group by all")
+def _(s, d):
+    return smooth.box(lineitem(s, d, "l_returnflag", "l_extendedprice"), "l_extendedprice", "l_returnflag")
+
+
+@query("pca_2d", "select 1 component, round(1 + abs(corr(p_size, p_retailprice)), 6) eigenvalue, round((1 + abs(corr(p_size, p_retailprice))) / 2, 6) share from part union all select 2, round(1 - abs(corr(p_size, p_retailprice)), 6), round((1 - abs(corr(p_size, p_retailprice))) / 2, 6) from part")
+def _(s, d):
+    return smooth.pca(table(s, d, "part", "p_size", "p_retailprice"), ["p_size", "p_retailprice"])
+
+
+@query("copulas", "with u as (select l_orderkey, l_linenumber, (l_quantity + 1) / 60 u, l_discount * 5 + 0.1 v from lineitem) select l_orderkey, l_linenumber, round(3 * (u * v) ^ -3 * (u ^ -2 + v ^ -2 - 1) ^ -2.5, 6) clayton, round(-ln(1 + (exp(-2 * u) - 1) * (exp(-2 * v) - 1) / (exp(-2) - 1)) / 2, 6) frank, round(exp(-1 * sqrt(ln(u) ^ 2 + ln(v) ^ 2)), 6) gumbel from u")
+def _(s, d):
+    x = lineitem(s, d, "l_orderkey", "l_linenumber", "l_quantity", "l_discount").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") + 1) / 60).alias("u"), (F.col("l_discount") * 5 + 0.1).alias("v"))
+    u, v = F.col("u"), F.col("v")
+    return x.select("l_orderkey", "l_linenumber", smooth.clayton_pdf(u, v, 2.0).alias("clayton"), smooth.frank_cdf(u, v, 2.0).alias("frank"), smooth.gumbel_cdf(u, v, 2.0).alias("gumbel"))
+
+
+@query("windowed_ols", "select date_trunc('day', ts) start, count(*) n, round(covar_pop(value, user_id) / var_pop(value), 4) slope, round(avg(user_id) - covar_pop(value, user_id) / var_pop(value) * avg(value), 4) intercept from events group by 1", 4)
+def _(s, d):
+    return windowed_ols(table(s, d, "events", "ts", "user_id", "value"), "ts", "user_id", "value")
