@@ -36,10 +36,10 @@ def lineitem(s: SparkSession, d: str, *columns: str) -> DataFrame:
 
 def daily(s: SparkSession, d: str) -> DataFrame:
     """Orders' mean price per day: the series of the time-series queries."""
-    return table(s, d, "orders", "o_orderdate", "o_totalprice").groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.count("*") / 100000).alias("x"))
+    return table(s, d, "orders", "o_orderdate", "o_totalprice").groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")) / F.count("*") / 99991).alias("x"))
 
 
-DAILY = "daily as (select o_orderdate::date::varchar as day, sum(round(o_totalprice * 100)::bigint) / count(*) / 100000 x from orders group by 1)"
+DAILY = "daily as (select o_orderdate::date::varchar as day, sum(round(o_totalprice * 100)::bigint) / count(*) / 99991 x from orders group by 1)"
 LIFE = "life as (select datediff('day', o_orderdate, l_shipdate) t, (l_returnflag = 'R')::int e, l_linestatus g from lineitem join orders on o_orderkey = l_orderkey)"
 
 
