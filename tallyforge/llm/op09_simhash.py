@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,13 +15,39 @@ from tallyforge.llm import textbatch as tb
 from tallyforge.llm.session import arrow_batches, written
 
 CHUNK = 4 << 20
-#: Fingerprints of at most RADIUS different bits are near copies; each of the SEGMENTS then has at most one different bit.
+#: Fingerprints of at most RADIUS different bits may be near copies; each of the SEGMENTS then has at most one different bit.
 RADIUS, SEGMENTS, WIDTH = 7, 4, 16
+#: Near copies also share at least ALIKE of their words, pairs and triples of words, estimated from one minimum in each of BINS.
+BINS, ALIKE = 128, 0.3
+
+
+def phrases(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every word, pair and triple of words; owner doesn't fall."""
+    texts, found, h = [owner], [tb.mixed(hashes)], hashes
+    with np.errstate(over="ignore"):
+        for k in (1, 2):
+            h = tb.mixed(h[:-1] * tb.MIX + hashes[k:])
+            inside = owner[:-k] == owner[k:]
+            texts.append(owner[:-k][inside])
+            found.append(h[inside])
+    return np.concatenate(texts), np.concatenate(found)
+
+
+def minima(owner: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """n sketches of BINS bytes: of the phrases that fall into a bin, 1 to 255 of the smallest hash; 0 if there is none."""
+    out = np.zeros(n * BINS, np.uint8)
+    cell, rest = owner.astype(np.uint64) * np.uint64(BINS) + hashes % np.uint64(BINS), 35
+    both = np.sort(cell << np.uint64(rest) | hashes >> np.uint64(64 - rest))
+    cell = both >> np.uint64(rest)
+    least = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    out[cell[least].astype(np.int64)] = tb.mixed(both[least] & np.uint64((1 << rest) - 1)) % np.uint64(255) + np.uint64(1)
+    return out.reshape(n, BINS)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): 64-bit SimHash of each text's words (runs of letters or digits, lower case), weighted by the
-    square root of their number in the text. A text without words has a hash of its bytes; a null text null."""
+    """(doc_id, fp, sketch): 64-bit SimHash of each text's words (runs of letters or digits, lower case), weighted by the
+    fourth root of their number in the text, so that common words don't draw unrelated texts together, and minima of
+    its phrases. A text without words has a hash of its bytes and an empty sketch; a null text nulls."""
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(tb.class_table())
@@ -33,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n = len(column)
             data, off = tb.flat(column)
             out = np.zeros(n, np.uint64)
+            sketch = np.zeros((n, BINS), np.uint8)
             counted = np.zeros(n, bool)
             if len(data):
                 pos, cp = tb.characters(data)
@@ -47,10 +75,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     text_of = np.searchsorted(off, begins, "right") - 1
                     words, word_off, code = tb.unique_pieces(data, begins, len(data))
                     hashes = tb.piece_hashes(words, word_off)
+                    there, at = np.unique(text_of[is_word], return_inverse=True)
+                    sketch[there] = minima(*phrases(at, hashes[code[is_word]]), len(there))
                     key = text_of[is_word].astype(np.int64) << 32 | code[is_word]
                     key, times = np.unique(key, return_counts=True)
                     owner, code = key >> 32, key & 0xFFFFFFFF
-                    weight = np.sqrt(times).astype(np.float32)
+                    weight = np.sqrt(np.sqrt(times)).astype(np.float32)
                     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
                     sums = np.empty((len(starts), 64), np.float32)
@@ -67,10 +97,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out[rest] = tb.mixed(np.full(len(rest), 77, np.uint64))
                 if len(full):
                     out[rest[full]] = tb.piece_hashes(whole, np.append(whole_off[:-1][full], whole_off[-1]))
-            fp = pa.array(out.view(np.int64), pa.int64(), mask=column.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), fp], ["doc_id", "fp"])
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            fp = pa.array(out.view(np.int64), pa.int64(), mask=null)
+            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS), n, [None, pa.py_buffer(sketch)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), fp, pc.if_else(pa.array(null), None, cells)], ["doc_id", "fp", "sketch"])
 
-    return given.mapInArrow(sign, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return given.mapInArrow(sign, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, fp bigint, sketch binary")
 
 
 def segment(fp: Column, k: int) -> Column:
@@ -103,6 +135,20 @@ def near_pairs(fps: DataFrame) -> DataFrame:
     return met.where(whole & first & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of fingerprints of which any sketches (fp, sketch) agree in at least ALIKE of the bins that either fills."""
+    of = lambda side: sketches.select(F.col("fp").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            same, filled = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
+            yield batch.select([0, 1]).filter(pa.array((filled > 0) & (same >= ALIKE * filled)))
+
+    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+    return met.mapInArrow(verify, "a bigint, b bigint").distinct()
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): each node of an edge list with the smallest node that it is connected to, by alternating
     large-star and small-star rounds until nothing changes; the number of rounds grows with the logarithm of the nodes."""
@@ -125,17 +171,18 @@ def components(pairs: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups: (doc_id, fingerprint, group_id, group_size, keep), one row per distinct id.
 
-    Documents whose fingerprints differ in at most RADIUS bits are near copies; groups are connected
-    components of that relation, over all documents. group_id is the smallest id of a group, which alone
-    is kept. Equal fingerprints meet once as one, so that copies cost nothing in the search.
+    Documents whose fingerprints differ in at most RADIUS bits and whose words, pairs and triples of words
+    have at least the share ALIKE in common are near copies; groups are connected components of that
+    relation, over all documents. group_id is the smallest id of a group, which alone is kept. Equal
+    fingerprints meet once as one, so that copies cost nothing in the search.
 
     Rows of one id are one document, with its smallest fingerprint. A null text is near nothing and kept.
     Empty texts are copies of each other; so are equal texts without words. A null id can't be named: such rows are left out.
     An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    signed = written(fingerprints(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("fp")), "simhash")
-    fps = signed.where("fp is not null").select("fp").distinct()
-    roots = components(written(near_pairs(fps), "simhash-pairs"))
+    signed = written(fingerprints(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("fp", "sketch")).alias("x")).select("doc_id", "x.*"), "simhash")
+    sketches = written(signed.where("fp is not null").select("fp", "sketch").distinct(), "simhash-sketches")
+    roots = components(written(alike(near_pairs(sketches.select("fp").distinct()), sketches), "simhash-pairs"))
     placed = signed.join(roots, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
     group = Window.partitionBy("root", F.when(F.col("root").isNull(), F.col("doc_id")))
     out = placed.select("doc_id", F.col("fp").alias("fingerprint"), F.min("doc_id").over(group).alias("group_id"), F.count("*").over(group).alias("group_size"))

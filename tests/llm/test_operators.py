@@ -201,6 +201,18 @@ def test_multi_index_finds_every_close_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_keeps_texts_of_the_same_common_words_apart(spark):
+    rng = np.random.default_rng(5)
+    words = [f"common{i}" for i in range(200)]
+    other = [words[i] for i in rng.permutation(200)][:-1] + ["rare"]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join([*words[:-1], "rare"]))], "doc_id bigint, text string")
+    fps = {r["doc_id"]: r["fp"] for r in op09_simhash.fingerprints(frame).collect()}
+    assert ((fps[1] ^ fps[2]) & (2**64 - 1)).bit_count() <= op09_simhash.RADIUS
+    assert all(r["keep"] and r["group_size"] == 1 for r in op09_simhash.groups(frame.where("doc_id < 3")).collect())
+    got = {r["doc_id"]: r["group_id"] for r in op09_simhash.groups(frame.where("doc_id <> 2")).collect()}
+    assert got == {1: 1, 3: 1}
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in op09_simhash.components(pairs).collect()}
