@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,9 @@ from tallyforge.llm import textbatch as tb
 from tallyforge.llm.session import arrow_batches, written
 
 CHUNK = 4 << 20
-#: Fingerprints of at most RADIUS different bits may be near copies; each of the SEGMENTS then has at most one different bit.
-RADIUS, SEGMENTS, WIDTH = 7, 4, 16
+#: Fingerprints of at most RADIUS different bits may be near copies; one of the SEGMENTS then has at most BALL different bits.
+RADIUS, SEGMENTS, WIDTH = 11, 4, 16
+BALL = RADIUS // SEGMENTS
 #: Near copies also share at least ALIKE of their words, pairs and triples of words, estimated from one minimum in each of BINS.
 BINS, ALIKE = 128, 0.3
 
@@ -112,22 +114,26 @@ def segment(fp: Column, k: int) -> Column:
 def near_pairs(fps: DataFrame) -> DataFrame:
     """Distinct pairs (a, b), a < b, of the distinct fingerprints fp that differ in at most RADIUS bits: all of them.
 
-    With SEGMENTS segments such a pair has one that differs in at most RADIUS // SEGMENTS = 1 bits. Each
-    fingerprint is stored under its segments and looked up under all values of the segment's ball of radius 1
-    that have no bit less: of two values that differ in one bit, just the one that lacks it finds the other.
-    Table matches are verified by the complete distance. A pair that several segments find counts in the first.
+    Such a pair has a segment that differs in at most BALL bits. Each fingerprint is stored under its segments
+    and looked up under the values of each segment's ball of radius BALL that aren't smaller: of two values,
+    just the smaller one finds the other. Table matches are verified by the complete distance. A pair that
+    several segments find counts in the first.
     """
-    key = lambda k, value: value.bitwiseOR(F.lit(k << WIDTH)).cast("int")
-    stored = fps.select(F.explode(F.array(*(F.struct(key(k, segment(F.col("fp"), k)).alias("key")) for k in range(SEGMENTS)))).alias("x"), F.col("fp").alias("b")).select("x.key", "b")
-    balls = [F.array(key(k, segment(F.col("fp"), k)), *(F.when(segment(F.col("fp"), k).bitwiseAND(1 << i) == 0, key(k, segment(F.col("fp"), k).bitwiseOR(F.lit(1 << i)))) for i in range(WIDTH))) for k in range(SEGMENTS)]
-    probes = fps.select(F.explode(F.concat(*balls)).alias("key"), F.col("fp").alias("a")).where("key is not null")
-    met = probes.join(stored, "key").where("a <> b")
+    masks = [sum(1 << i for i in bits) for n in range(BALL + 1) for bits in itertools.combinations(range(WIDTH), n)]
+    balls = F.expr(f"array({', '.join(str(k << WIDTH | mask) for k in range(SEGMENTS) for mask in masks)})")
+    at = f"(shiftrightunsigned({{}}, (ball >> {WIDTH}) * {WIDTH}) & {(1 << WIDTH) - 1})"
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    key = lambda k: segment(F.col("fp"), k).bitwiseOR(F.lit(k << WIDTH)).cast("int")
+    stored = spread.select(F.explode(F.array(*(key(k) for k in range(SEGMENTS)))).alias("key"), F.col("fp").alias("b"))
+    probes = spread.select(F.explode(balls).alias("ball"), F.col("fp").alias("a"))
+    probes = probes.where(f"({at.format('a')} ^ (ball & {(1 << WIDTH) - 1})) >= {at.format('a')}").select(F.expr(f"cast({at.format('a')} ^ ball as int)").alias("key"), "a")
+    met = probes.join(stored.hint("shuffle_hash"), "key").where("a <> b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     whole = F.bit_count(differ) <= RADIUS
     seg = F.shiftright("key", WIDTH)
     first = F.lit(True)
     for k in range(SEGMENTS - 1):  # no earlier segment finds the pair
-        first = first & ((seg <= k) | (F.bit_count(segment(differ, k)) > 1))
+        first = first & ((seg <= k) | (F.bit_count(segment(differ, k)) > BALL))
     same = segment(F.col("a"), 0) == segment(F.col("b"), 0)
     for k in range(1, SEGMENTS):
         same = F.when(seg == k, segment(F.col("a"), k) == segment(F.col("b"), k)).otherwise(same)

@@ -213,6 +213,16 @@ def test_simhash_keeps_texts_of_the_same_common_words_apart(spark):
     assert got == {1: 1, 3: 1}
 
 
+def test_simhash_finds_edited_copies(spark):
+    rng = np.random.default_rng(6)
+    texts = [[f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, 200), 50_000)] for _ in range(200)]
+    edited = [[f"new{int(rng.integers(10**6))}" if rng.random() < 0.05 else w for w in t] for t in texts]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, *edited])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["group_id"] for r in op09_simhash.groups(frame).collect()}
+    assert np.mean([got[i + 200] == got[i] for i in range(200)]) > 0.85  # 5% of the words replaced
+    assert all(got[i] == i for i in range(200))
+
+
 def test_components_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in op09_simhash.components(pairs).collect()}
