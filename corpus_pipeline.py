@@ -31,17 +31,18 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, and one row of each id. Rows without id can't be named in a
-    group and stay; so do documents with null text, which are near nothing."""
-    gone = small(op09_simhash.groups(docs).where("not keep").select("doc_id"))
-    again = small(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """One row of each group of near copies, that of the smallest id (rows without id come last), and one of equal rows,
+    whatever their ids: rows are named by their id and hash. Null texts are near nothing and stay."""
+    h, n = free_name(docs.columns, "row_hash"), free_name(docs.columns, "n")
+    keyed = docs.withColumn(h, hashed(*docs.columns))
+    named = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(h).alias("h")).alias("doc_id"), "text")
+    gone = small(op09_simhash.groups(named).where("not keep").select(F.col("doc_id.h").alias(h)))
+    again = small(keyed.groupBy(h).count().where("count > 1").select(h))
+    kept = keyed.join(gone, h, "left_anti")
     if not again.count():
         return kept.select(docs.columns)
-    n = free_name(docs.columns, "n")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    first = kept.join(again, "doc_id", "left_semi").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1)
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
+    first = kept.join(again, h, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(h).orderBy(h))).where(F.col(n) == 1)
+    return kept.join(again, h, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

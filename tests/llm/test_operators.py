@@ -287,6 +287,15 @@ def test_pipeline_stages_on_awkward_rows(spark, docs, sf):
     assert given.count() > 0
 
 
+def test_pipeline_keeps_a_row_of_every_text(spark, sf):
+    texts = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (3, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3] + " more"), (4, None), (None, None)]
+    given = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, given, sf).collect()]
+    assert len(got) == 6 and {(1, texts[0]), (1, texts[1]), (3, texts[2]), (4, None), (None, None)} < set(got)
+    assert sum(t in (texts[3], texts[3] + " more") for _, t in got) == 1
+
+
 def test_pipeline_equals_its_parts(spark, sf, coding):
     frame = spark.read.parquet(f"{sf}/documents.parquet")
     good = {r["doc_id"] for r in op04_quality.classify(frame, spark.read.parquet(f"{sf}/labels.parquet")).collect() if r["keep"]}
