@@ -165,6 +165,14 @@ def test_language_filters_correct_for_false_positives():
     assert n.tolist() == [5000, 5000] and rates[0, 0] == 1 and rates[0, 1:].max() < 0.03 and rates[1].max() < 0.03
 
 
+def test_language_filters_hold_more_than_a_slice():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(130)]
+    filters = op06_langid.Filters([f"l{i:03}" for i in range(130)], sets)
+    n, rates = filters.rates(np.concatenate([sets[i] for i in (0, 63, 64, 129)]), np.repeat(np.arange(4), 500), 4)
+    assert n.tolist() == [500] * 4 and rates.argmax(1).tolist() == [0, 63, 64, 129] and np.sort(rates, axis=1)[:, -2].max() < 0.03
+
+
 def test_simhash_groups_equal_brute_force(spark, sf):
     every = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").unionByName(spark.createDataFrame([(5001, None, "en", "s", 0), (5002, "", "en", "s", 0), (5003, "", "en", "s", 0), (5004, "!?", "en", "s", 0)], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
     fps = {r["doc_id"]: r["fp"] for r in op09_simhash.fingerprints(every).collect()}
