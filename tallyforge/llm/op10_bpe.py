@@ -7,84 +7,63 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe
 from tallyforge.llm import textbatch as tb
-from tallyforge.llm.session import arrow_batches
+from tallyforge.llm.session import arrow_batches, written
 
 #: Bytes of text whose distinct words are encoded together.
-BLOCK = 16 << 20
-#: Bytes of text that are cut into words at a time.
-PIECE = 2 << 20
-#: Words of up to SHORT bytes keep the cuts between their pieces as bits of one integer.
-SHORT = 48
-#: Sizes of the two perfect hash tables that hold the rank map.
-SLOTS, BUCKETS = 1 << 17, 1 << 14
-PAIR_SLOTS, PAIR_BUCKETS = 200_003, 32_749
-
-
-def ints(values: list[int], kind: str) -> str:
-    """SQL of an array that the optimiser folds into a literal."""
-    return f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)"
-
-
-def perfect(home: np.ndarray, bucket: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shift of each bucket that keeps all keys apart, and the slot (home + shift) % slots of each key."""
-    order = np.argsort(bucket, kind="stable")
-    groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-    taken, shift, slot = np.zeros(slots, bool), np.zeros(int(bucket.max()) + 1, np.int64), np.zeros(len(home), np.int64)
-    for group in sorted(groups, key=len, reverse=True):
-        d = 0
-        while len(set((at := (home[group] + d) % slots).tolist())) < len(group) or taken[at].any():
-            d += 1
-        shift[bucket[group[0]]], slot[group] = d, at
-        taken[at] = True
-    return shift, slot
+BLOCK = 4 << 20
+#: Words of more than WINDOW bytes are folded in windows of so many.
+WINDOW = 128
+#: At most so many words, those of the most blocks, are encoded once for all blocks; a block encodes its other words itself.
+DICTIONARY = 2_000_000
+#: Words that one task folds, about.
+SHARE = 20_000
+#: Bits of an id beside a position.
+ID_BITS = 20
+#: The arrays of the rank map that folding takes.
+FOLD = ("entries", "shift", "early")
+#: What stands where no pair has its entry.
+NO_ENTRY = 1 << 61
+#: The rank map's homes and buckets, in proportion to its pairs.
+HOMES, BUCKETS = 1.7, 0.25
 
 
 @lru_cache(maxsize=4)
-def tables(vocabulary: str) -> dict[str, str]:
-    """SQL literals: the rank map, by the hash of a token's bytes and by a pair of ids, the id of each byte and the pieces.
+def tables(vocabulary: str) -> tuple[pa.Table, int, int]:
+    """The rank map as one row of arrays, with the numbers of homes and buckets.
 
-    By bytes: the slot ((h & SLOTS - 1) + shift[h >> bits & BUCKETS - 1]) & SLOTS - 1 has a token's 64-bit
-    hash h and its rank. By pair, for long words: the slot (key % PAIR_SLOTS + shift[key % PAIR_BUCKETS]) %
-    PAIR_SLOTS has key * 65536 + rank, where key is left * 65536 + right.
+    A pair of ids (a, b) that makes a token has the key a << ID_BITS | b and its entry key << ID_BITS | rank at the
+    place key % homes + shift[key % buckets]. The shifts keep all entries apart, so that a single look-up tells the rank, or
+    that there is none. pieces has the tokens' bytes in hexadecimal digits.
     """
     merges = bpe.Merges(vocabulary)
-    if merges.size > 65_536:
-        raise ValueError("ids must fit in 16 bits")
-    tokens = [(rank, token) for rank, token in enumerate(merges.pieces) if token]
-    hashes = np.array([xxhash.xxh64_intdigest(token, 42) for _, token in tokens], np.uint64).view(np.int64)
-    home = hashes & SLOTS - 1
-    bits = next(b for b in range(20, 50) if len(np.unique((hashes >> b & BUCKETS - 1) << 17 | home)) == len(home))  # no two keys share bucket and home
-    shift, slot = perfect(home, hashes >> bits & BUCKETS - 1, SLOTS)
-    by_hash, by_rank, early = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
-    by_hash[slot], by_rank[slot] = hashes, [rank for rank, _ in tokens]
-    early[slot] = merges.early[by_rank[slot]]
-    keys = merges.pairs[:, 0] << 16 | merges.pairs[:, 1]
-    pair_shift, slot = perfect(keys % PAIR_SLOTS, keys % PAIR_BUCKETS, PAIR_SLOTS)
-    by_pair = np.full(PAIR_SLOTS, -1, np.int64)
-    by_pair[slot] = keys << 16 | merges.pairs[:, 2]
-    longest = max(len(token) for _, token in tokens)
-    spans = ["array()", "array()"] + [ints([i << 6 | j for i in range(n) for j in range(i + 2, min(n, i + longest) + 1)], "int") for n in range(2, SHORT + 1)]
-    ends, inner = ([f(q >> 6, q & 63) for q in range(4096)] for f in (lambda i, j: 1 << i | 1 << j, lambda i, j: max(0, (1 << j) - (2 << i))))
-    return {
-        "bits": str(bits),
-        "hashes": ints(by_hash.tolist(), "bigint"),
-        "ranks": ints((by_rank << 1 | early).tolist(), "bigint"),
-        "shifts": ints(shift.tolist(), "int"),
-        "pairs": ints(by_pair.tolist(), "bigint"),
-        "pair_shifts": ints(pair_shift.tolist(), "bigint"),
-        "early": ints(merges.early.astype(int).tolist(), "int"),
-        "ends": ints([x if x < 1 << 63 else 0 for x in ends], "bigint"),
-        "inner": ints([x if x < 1 << 63 else 0 for x in inner], "bigint"),
-        "spans": f"array({', '.join(f'cast({x} as array<int>)' for x in spans)})",
-        "bytes": ints(merges.byte_ids.tolist(), "int"),
-        "pieces": "split('" + ",".join(p.hex() for p in merges.pieces) + "', ',')",
-    }
+    if merges.size > 1 << ID_BITS:
+        raise ValueError(f"the vocabulary has more than {1 << ID_BITS} ids")
+    keys = merges.pairs[:, 0] << ID_BITS | merges.pairs[:, 1]
+    homes, buckets = int(HOMES * len(keys)) | 1, int(BUCKETS * len(keys)) | 1
+    while len(np.unique(keys % buckets * homes + keys % homes)) < len(keys):
+        homes += 2
+    order = np.argsort(keys % buckets, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(keys[order] % buckets)) + 1)
+    entries, shift = np.full(2 * homes, NO_ENTRY, np.int64), np.zeros(buckets, np.int64)
+    for group in sorted(groups, key=len, reverse=True):
+        at = keys[group] % homes
+        while (entries[at] != NO_ENTRY).any():
+            at += 1
+        entries[at], shift[keys[group[0]] % buckets] = keys[group] << ID_BITS | merges.pairs[group, 2], at[0] - keys[group[0]] % homes
+    fields = {"entries": (entries[: homes + shift.max() + 1], pa.int64()), "shift": (shift, pa.int32()), "early": (merges.early.astype(np.int32), pa.int32()), "pieces": ([p.hex() for p in merges.pieces], pa.string())}
+    return pa.table({k: pa.array([list(v)], pa.list_(kind)) for k, (v, kind) in fields.items()}), homes, buckets
+
+
+def with_rank_map(df: DataFrame, vocabulary: str) -> DataFrame:
+    """df, of few and large rows, with the rank map as column t: one literal row that a scalar subquery holds, so that plans
+    don't have it as text."""
+    return df.withColumn("t", df.sparkSession.createDataFrame(tables(vocabulary)[0]).select(F.struct("*")).scalar())
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -92,101 +71,172 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def short_fold(w: str, vocabulary: str) -> str:
-    """SQL of the ids of a binary word of at most SHORT bytes.
-
-    Candidates are the substrings that are tokens, as rank, start and end packed into one integer. The fold
-    keeps the cuts between pieces as bits; a candidate whose ends are cuts, with just one cut between,
-    takes that cut away. Taken in order of rank, one pass is the same as always choosing the lowest
-    candidate, unless it took a token whose merge can make room for one of lower rank: then each step chooses anew.
+def bound(body: str, *names: str) -> str:
+    """SQL of body with the arrays of the rank map, column t, bound to the names t_<field>, unpacked once a row."""
+    for name in names:
+        body = let(f"t_{name}", f"transform(t.{name}, x -> x)", body)
+    return body
+
+
+def merged(ids: str, size: tuple[int, int], placed: bool = False) -> str:
+    """SQL that folds the ranked merges over an array of ids, to begin with those of a word's bytes: each step merges the lowest
+    pair of neighbours, in all places at once unless its merge makes room for a pair of lower rank (then in the leftmost),
+    until no pair is in the rank map. placed: elements are start << ID_BITS | id, and keep the start of the left one."""
+    top = 1 << ID_BITS
+    homes, buckets = size
+    a, b = (f"({x} & {top - 1}L)" if placed else x for x in "ab")
+    keys = f"zip_with(s.ids, slice(s.ids, 2, size(s.ids)), (a, b) -> shiftleft(cast({a} as bigint), {ID_BITS}) | {b})"
+    found = f"transform({keys}, x -> t_entries[cast(x % {homes} as int) + t_shift[cast(x % {buckets} as int)]] ^ shiftleft(x, {ID_BITS}))"
+    new = f"(x & ~{top - 1}L) | m" if placed else "cast(m as int)"
+    one = let("p", "cast(array_position(r, m) as int)", f"concat(slice(s.ids, 1, p - 1), transform(slice(s.ids, p, 1), x -> {new}), slice(s.ids, p + 2, size(s.ids)))")
+    apart = "transform(r, v -> coalesce(v = m, false))"
+    beside = "exists(zip_with(r, slice(r, 2, size(r)), (a, b) -> coalesce(a = m and b = m, false)), z -> z)"
+    turns = "aggregate(r, cast(array() as array<boolean>), (f, v) -> array_append(f, coalesce(v = m, false) and not coalesce(try_element_at(f, -1), false)))"
+    gone = f"cast(null as {'bigint' if placed else 'int'})"
+    every = let("f", f"if({beside}, {turns}, {apart})", f"filter(transform(s.ids, (x, i) -> if(f[i], {new}, if(i > 0 and f[greatest(i - 1, 0)], {gone}, x))), x -> x is not null)")
+    again = f"exists(slice(r, cast(array_position(r, m) as int) + 1, size(r)), v -> v = m)"
+    change = f"if(t_early[cast(m as int)] = 1 or not {again}, {one}, {every})"
+    step = let("r", found, let("m", "array_min(r)", f"if(m is null or m >= {top}, named_struct('ids', s.ids, 'over', true), named_struct('ids', {change}, 'over', false))"))
+    return f"aggregate(array_repeat(0, size({ids}) - 1), named_struct('ids', {ids}, 'over', false), (s, _) -> if(s.over, s, {step}), s -> s.ids)"
+
+
+def windowed(word: str, size: tuple[int, int]) -> str:
+    """SQL of the ids of a long word, an array of its bytes' ids, in time that grows with its length.
+
+    A row of tokens is what the merges give if and only if every two neighbours are what they give for the
+    two's bytes. So two overlapping windows whose rows have a token in common (same place, same id) are joined
+    there. The next window begins at a token in the middle of the last. Where windows have no token in
+    common, the word is folded whole.
     """
-    t = tables(vocabulary)
-    slot = f"((cast(h & {SLOTS - 1} as int) + {t['shifts']}[cast(shiftright(h, {t['bits']}) & {BUCKETS - 1} as int)]) & {SLOTS - 1})"
-    hashed = f"transform(q, x -> xxhash64(substring({w}, shiftright(x, 6) + 1, (x & 63) - shiftright(x, 6))))"
-    found = f"zip_with(q, {hashed}, (x, h) -> if({t['hashes']}[{slot}] = h, shiftleft({t['ranks']}[{slot}], 12) | x, null))"
-    candidates = let("q", f"{t['spans']}[length({w})]", f"sort_array(filter({found}, x -> x is not null))")
-    inner, ends = (f"{t[k]}[cast(x & 4095 as int)]" for k in ("inner", "ends"))
-    fits = f"(s & {ends}) = {ends} and bit_count(s & {inner}) = 1"
-    start = f"shiftleft(2L, length({w})) - 1L"
-    once = f"aggregate(c, {start}, (s, x) -> if({fits}, s & ~{inner} | shiftleft(x & 4096L, 48), s))"  # bit 60: it took such a token
-    lowest = f"array_min(transform(c, x -> if({fits}, x, null)))"
-    anew = f"aggregate(array_repeat(0, length({w}) - 1), {start}, (s, _) -> {let('x', lowest, f'if(x is null, s, s & ~{inner})')})"
-    cuts = let("c", candidates, let("o", once, f"if(shiftright(o, 60) = 0, o, {anew})"))
-    at = f"filter(sequence(0, length({w})), p -> (shiftright(m, p) & 1L) = 1L)"
-    names = f"transform(zip_with(p, slice(p, 2, size(p)), (a, b) -> xxhash64(substring({w}, a + 1, b - a))), h -> cast(shiftright({t['ranks']}[{slot}], 1) as int))"
-    return let("m", cuts, let("p", at, f"slice({names}, 1, size(p) - 1)"))
-
-
-def long_fold(w: str, vocabulary: str) -> str:
-    """SQL of the ids of a binary word of any length: each step merges the lowest pair of neighbouring ids, in all
-    places at once unless its merge makes room for a pair of lower rank (then in the leftmost)."""
-    t = tables(vocabulary)
-    start = f"transform(sequence(1, length({w})), i -> {t['bytes']}[cast(conv(hex(substring({w}, i, 1)), 16, 10) as int)])"
-    keys = "zip_with(s.ids, slice(s.ids, 2, size(s.ids)), (a, b) -> cast(a as bigint) * 65536 + b)"
-    found = f"zip_with(k, transform(k, x -> {t['pairs']}[cast((x % {PAIR_SLOTS} + {t['pair_shifts']}[cast(x % {PAIR_BUCKETS} as int)]) % {PAIR_SLOTS} as int)]), (x, e) -> if(shiftright(e, 16) = x, cast(e & 65535 as int), null))"
-    one = let("p", "cast(array_position(r, m) as int)", "concat(slice(s.ids, 1, p - 1), array(m), slice(s.ids, p + 2, size(s.ids)))")
-    flags = "aggregate(r, cast(array() as array<boolean>), (f, v) -> array_append(f, coalesce(v = m, false) and not coalesce(try_element_at(f, -1), false)))"
-    every = let("f", flags, "filter(transform(s.ids, (x, i) -> if(f[i], m, if(i > 0 and f[greatest(i - 1, 0)], cast(null as int), x))), x -> x is not null)")
-    merged = f"if({t['early']}[m] = 1, {one}, {every})"
-    step = let("k", keys, let("r", found, let("m", "array_min(r)", f"if(m is null, named_struct('ids', s.ids, 'over', true), named_struct('ids', {merged}, 'over', false))")))
-    return f"aggregate(array_repeat(0, length({w}) - 1), named_struct('ids', {start}, 'over', false), (s, _) -> if(s.over, s, {step}), s -> s.ids)"
+    mask = (1 << ID_BITS) - 1
+    part = lambda ids: let("v", f"transform({ids}, (x, i) -> shiftleft(cast(g + i as bigint), {ID_BITS}) | x)", merged("v", size, True))
+    window = part(f"slice({word}, g + 1, {WINDOW})")
+    joined = f"named_struct('done', concat(o.done, filter(o.last, e -> e < y)), 'last', filter(b, e -> e >= y), 'upto', least(size({word}), g + {WINDOW}), 'ok', true)"
+    lost = "named_struct('done', o.done, 'last', o.last, 'upto', o.upto, 'ok', false)"
+    step = let("g", f"cast(shiftright(o.last[cast(size(o.last) / 2 as int)], {ID_BITS}) as int)", let("b", window, let("y", "array_min(array_intersect(o.last, b))", f"if(y is null, {lost}, {joined})")))
+    start = f"named_struct('done', cast(array() as array<bigint>), 'last', {let('g', '0', window)}, 'upto', least(size({word}), {WINDOW}), 'ok', true)"
+    end = f"if(o.ok and o.upto >= size({word}), concat(o.done, o.last), {let('g', '0', part(word))})"
+    whole = f"aggregate(array_repeat(0, cast(8 * size({word}) / {WINDOW} as int) + 8), {start}, (o, _) -> if(not o.ok or o.upto >= size({word}), o, {step}), o -> {end})"
+    return f"transform({whole}, e -> cast(e & {mask}L as int))"
 
 
 def fold(word: str, vocabulary: str) -> str:
-    """SQL of the ids of a binary word: ranked merges of its bytes until no pair of neighbours is in the rank map."""
-    return f"if(length({word}) <= {SHORT}, {short_fold(word, vocabulary)}, {long_fold(word, vocabulary)})"
+    """SQL of the ids of a word, an array of its bytes' ids."""
+    size = tables(vocabulary)[1:]
+    return f"if(size({word}) <= {WINDOW}, {merged(word, size)}, {windowed(word, size)})"
+
+
+def symbols(words: pa.Array, byte_ids: np.ndarray) -> pa.ListArray:
+    """Binary words as arrays of their bytes' ids; null for null."""
+    off, data = (np.frombuffer(words.buffers()[i], kind) if words.buffers()[i] is not None else np.zeros(0, kind) for i, kind in ((1, np.int32), (2, np.uint8)))
+    off = off[words.offset : words.offset + len(words) + 1]
+    lists = pa.ListArray.from_arrays(pa.array(off - off[0], pa.int32()), pa.array(byte_ids[data[off[0] : off[-1]]], pa.int32()))
+    return pc.if_else(words.is_valid(), lists, pa.scalar(None, lists.type)) if words.null_count else lists
+
+
+def joined(ids: str) -> str:
+    """SQL of the text of an array of ids: their binary pieces one after the other."""
+    return f"decode(unhex(array_join(transform({ids}, i -> t_pieces[i]), '')), 'UTF-8')"
 
 
 def decoded(ids: Column | str, vocabulary: str | None = None) -> Column:
-    """The text of an array of token ids: their binary pieces (held as hexadecimal digits) one after the other.
-    Null for null; the empty text for no token."""
-    pieces = F.expr(tables(vocabulary or bpe.default_vocabulary())["pieces"])
+    """The text of an array of token ids. Null for null; the empty text for no token."""
+    held = F.expr("split('" + ",".join(p.hex() for p in bpe.Merges(vocabulary or bpe.default_vocabulary()).pieces) + "', ',')")
     ids = F.col(ids) if isinstance(ids, str) else ids
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: pieces[i]), "")), "UTF-8")
+    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: held[i]), "")), "UTF-8")
+
+
+def words_of(table: pa.Table, classes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts of a table, the number of each place's word, and the places of each text."""
+    data, off = tb.flat(table.column("text").combine_chunks())
+    begins, n_pre = tb.pretokens(data, off, classes)
+    words, word_off, code = tb.unique_pieces(data, begins, len(data)) if len(begins) else (np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(word_off) - 1, [None, pa.py_buffer(word_off.astype(np.int32)), pa.py_buffer(words)]), code, n_pre
+
+
+def dictionary(given: DataFrame, vocabulary: str, limit: int = DICTIONARY) -> tuple[pa.Array, pa.ListArray]:
+    """Words of several blocks with their ids: all words of at least as many blocks as leave at most limit."""
+    spark = given.sparkSession
+    shared = spark.sparkContext.broadcast(tb.class_table())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tb.sized(batches, "text", BLOCK):
+            yield pa.RecordBatch.from_arrays([words_of(table, shared.value)[0]], ["word"])
+
+    often = written(given.select("text").mapInArrow(cut, "word binary").groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "bpe-words")
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2("n") * 8) + 16).cast("bigint")  # below 600 of them
+    sizes = {r["k"]: r["n"] for r in often.groupBy(level.alias("k")).agg(F.count("*").alias("n")).collect()}
+    least, total = 1 << 62, 0
+    for k in sorted(sizes, reverse=True):
+        if total + sizes[k] > limit:
+            break
+        least, total = k, total + sizes[k]
+    if not total:
+        return pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32()))
+
+    byte_ids = bpe.Merges(vocabulary).byte_ids
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word")
+            whole = pa.array([0, len(words)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole, x) for x in (words, symbols(words, byte_ids))], ["words", "bytes"])
+
+    chosen = often.where(level >= F.lit(least)).select("word").repartition(-(-total // SHARE), "word").mapInArrow(packed, "words array<binary>, bytes array<array<int>>")
+    each = bound(f"zip_with(words, bytes, (w, v) -> named_struct('word', w, 'ids', {fold('v', vocabulary)}))", *FOLD)
+    folded = with_rank_map(chosen, vocabulary).select(F.explode(F.expr(each)).alias("x")).select("x.*")
+    found = written(folded, "bpe-dictionary").toArrow()
+    return found.column("word").combine_chunks().cast(pa.binary()), found.column("ids").combine_chunks().cast(pa.list_(pa.int32()))
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """Token ids of every text: (doc_id, n_tokens, tokens, round_trip), one row per input row.
 
-    Row-wise, without a shuffle. Texts are gathered in blocks of about BLOCK bytes; a block holds the byte
-    arrays of its distinct words once, and each text as numbers of words. Higher-order functions fold the
-    ranked merges over the distinct words, then put the texts' ids together. round_trip says whether
-    decoding gives the text back (left out if check is False).
+    Texts are gathered in blocks of about BLOCK bytes, each a set of distinct words and texts as numbers of
+    words. Higher-order functions fold the ranked merges over the byte arrays of distinct words: the
+    DICTIONARY commonest words of several blocks once for all, in a table that is then broadcast, and every
+    other word once in its block. Then they put the texts' ids together. Only the distinct words of blocks
+    are shuffled. round_trip says whether decoding gives the text back (left out if check is False).
 
     A null text has null tokens, n_tokens and round_trip; an empty one no tokens. A null id, repeated rows
     and equal ids stay as they are. An empty table gives no rows. Other columns are ignored, whatever
-    their names. Texts are never cut; one longer than a block is a block of its own.
+    their names. Texts are never cut; one longer than a block is a block of its own. A vocabulary of more
+    than 2^20 ids raises a ValueError.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     vocabulary = vocabulary or bpe.default_vocabulary()
-    shared = spark.sparkContext.broadcast(tb.class_table())
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
+    common, ids = dictionary(given, vocabulary)
+    arrays = (None,) * 4
+    if len(common):
+        offsets = np.frombuffer(common.buffers()[1], np.int32)[: len(common) + 1]
+        arrays = offsets, np.frombuffer(common.buffers()[2], np.uint8)[: offsets[-1]], np.array(ids.offsets), np.array(ids.values)
+    byte_ids = bpe.Merges(vocabulary).byte_ids
+    shared = spark.sparkContext.broadcast((tb.class_table(), *arrays))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
+        classes, offsets, data, id_off, id_values = shared.value
+        known = None if offsets is None else pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        names = None if offsets is None else pa.ListArray.from_arrays(pa.array(id_off, pa.int32()), pa.array(id_values, pa.int32()))
         for table in tb.sized(batches, "text", BLOCK):
             column = table.column("text").combine_chunks()
-            data, off = tb.flat(column)
-            cut = [tb.pretokens(*tb.flat(part.column("text").combine_chunks()), classes) for part in tb.sized(iter(table.to_batches()), "text", PIECE)]
-            n_pre = np.concatenate([n for _, n in cut])
-            heads = np.cumsum([0, *(len(n) for _, n in cut)])
-            begins = np.concatenate([b + off[i] for (b, _), i in zip(cut, heads)])
-            del cut
-            words, word_off, code = tb.unique_pieces(data, begins, len(data)) if len(begins) else (np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int32))
-            lists = pa.Array.from_buffers(pa.binary(), len(word_off) - 1, [None, pa.py_buffer(word_off.astype(np.int32)), pa.py_buffer(words)])
+            words, code, n_pre = words_of(table, classes)
+            if known is None:
+                found = pa.nulls(len(words), pa.list_(pa.int32()))
+            else:
+                found = names.take(pc.index_in(words, value_set=known))
+                words = pc.if_else(found.is_valid(), pa.scalar(None, pa.binary()), words)
             ends = np.concatenate([[0], np.cumsum(n_pre)])
             numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code, pa.int32()), mask=column.is_null())
             rows = pa.StructArray.from_arrays([table.column("doc_id").combine_chunks(), *([column] if check else []), numbers], ["doc_id", *(["text"] if check else []), "at"])
-            whole = pa.array([0, len(lists)], pa.int32()), pa.array([0, len(rows)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(whole[0], lists), pa.ListArray.from_arrays(whole[1], rows)], ["words", "docs"])
-
-    block = given.mapInArrow(blocks, f"words array<binary>, docs array<struct<doc_id: {kind}, {'text: string, ' * check}at: array<int>>>")
-    text = "'text', d.text, " if check else ""
-    built = let("e", f"transform(words, v -> {fold('v', vocabulary)})", f"transform(docs, d -> named_struct('doc_id', d.doc_id, {text}'tokens', flatten(transform(d.at, i -> e[i]))))")
-    rows = block.select(F.explode(F.expr(built)).alias("row")).select("row.*")
-    columns = [F.col("doc_id"), F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("n_tokens"), F.col("tokens")]
-    if check:
-        columns.append((decoded("tokens", vocabulary) == F.col("text")).alias("round_trip"))
-    return rows.select(*columns)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (symbols(words, byte_ids), found, rows)]
+            yield pa.RecordBatch.from_arrays(lists, ["words", "known", "docs"])
+
+    block = given.mapInArrow(blocks, f"words array<array<int>>, known array<array<int>>, docs array<struct<doc_id: {kind}, {'text: string, ' * check}at: array<int>>>")
+    folded = f"zip_with(words, known, (v, k) -> if(v is null, k, {fold('v', vocabulary)}))"
+    more = f", 'round_trip', {joined('w')} = d.text" if check else ""
+    row = f"named_struct('doc_id', d.doc_id, 'n_tokens', if(w is null, null, size(w)), 'tokens', w{more})"
+    built = let("e", folded, f"transform(docs, d -> {let('w', 'flatten(transform(d.at, i -> e[i]))', row)})")
+    return with_rank_map(block, vocabulary).select(F.explode(F.expr(bound(built, *FOLD, "pieces"))).alias("row")).select("row.*")
