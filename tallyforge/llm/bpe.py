@@ -30,7 +30,10 @@ class Merges:
     is merged at a time, of all others every occurrence at once, which is the same as one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, state: dict | None = None):
+        if state is not None:
+            self.__dict__.update(state)
+            return
         ranks = read_ranks(path)
         self.size = max(ranks.values()) + 1
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
@@ -63,6 +66,10 @@ class Merges:
             rest[chosen] = False
             left, slot = left[rest], (slot[rest] + 1) & self.mask
 
+    def state(self) -> dict:
+        """What encode() needs, in plain arrays: executors read it without this package."""
+        return {k: v for k, v in vars(self).items() if k not in ("pairs", "pieces")}
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)

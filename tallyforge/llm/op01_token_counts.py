@@ -30,11 +30,11 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    shared = spark.sparkContext.broadcast((tb.class_table(), bpe.Merges(vocabulary or bpe.default_vocabulary())))
+    shared = spark.sparkContext.broadcast((tb.class_table(), bpe.Merges(vocabulary or bpe.default_vocabulary()).state()))
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, merges = shared.value
+        classes, merges = shared.value[0], bpe.Merges(state=shared.value[1])
         for table in tb.sized(batches, "text", CHUNK):
             column = table.column("text").combine_chunks()
             data, off = tb.flat(column)
