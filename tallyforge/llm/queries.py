@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": lambda s, d: op01_token_counts.token_counts(table(s, d, "documents")),
-    "op2_topk": lambda s, d: op02_topk.top_k(table(s, d, "embeddings")),
+    "op2_topk": lambda s, d: op02_topk.top_k(table(s, d, "embeddings"), queries=table(s, d, "embeddings").where(op02_topk.ASKED)),
     "op3_lm_scores": lambda s, d: op03_lm.score(table(s, d, "documents"), table(s, d, "labels")),
     "op4_quality": lambda s, d: op04_quality.classify(table(s, d, "documents"), table(s, d, "labels")),
     "op5_mixing": lambda s, d: op05_mixing.schedule(table(s, d, "documents")),
