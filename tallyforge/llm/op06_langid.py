@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm import textbatch as tb
 from tallyforge.llm.session import arrow_batches
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Characters of an n-gram; cells of the filter, of one bit for each language; hash functions.
 N, CELLS, HASHES = 4, 1 << 20, 3
-#: The filters are fitted on about SAMPLE texts of each language, chosen by the hash of their id; an n-gram counts from LEAST occurrences.
+#: The filters are fitted on about SAMPLE texts of each language, chosen by the hash of id and text, equal ones once; an n-gram counts from LEAST occurrences.
 SAMPLE, LEAST = 500, 3
 #: A text is undetermined if the best language has less than this share of its n-grams.
 RATE = 0.3
@@ -40,9 +40,9 @@ def grams(column: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         ok &= letter[k : n + k]
     at = np.flatnonzero(ok)
     h = np.zeros(len(at), np.uint64)
-    for k in range(N):
-        h = h << np.uint64(16) | cp[at + k] & np.uint64(0xFFFF)
-    return tb.mixed(h), owner[at]
+    for k in range(N):  # all bits of every code point count
+        h = tb.mixed(h * tb.MIX + cp[at + k])
+    return h, owner[at]
 
 
 def cells(h: np.ndarray) -> list[np.ndarray]:
@@ -54,8 +54,11 @@ def cells(h: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """Cells whose bit l % 64 of slice l // 64 belongs to language l: an AND over an n-gram's cells has all its languages."""
 
-    def __init__(self, languages: list[str], found: list[np.ndarray]):
-        self.languages, self.table = languages, np.zeros((-(-len(languages) // 64), CELLS), np.uint64)
+    def __init__(self, languages: list[str], found: list[np.ndarray], table: np.ndarray | None = None, false: np.ndarray | None = None):
+        self.languages, self.table, self.false = languages, table, false
+        if table is not None:
+            return
+        self.table = np.zeros((-(-len(languages) // 64), CELLS), np.uint64)
         for i, h in enumerate(found):
             for at in cells(h):
                 self.table[i // 64, at] |= np.uint64(1 << i % 64)
@@ -74,21 +77,22 @@ class Filters:
                 for at in rest:
                     mask &= self.table[i // 64, at]
             hits = np.diff(np.concatenate([[0], np.cumsum((mask >> np.uint64(i % 64)) & np.uint64(1))]).astype(np.int64)[ends])
-            out[:, i] = np.maximum(0, (hits - n * false) / np.maximum(n * (1 - false), 1e-9))
+            out[:, i] = np.clip((hits - n * false) / np.maximum(n * (1 - false), 1e-9), 0, 1)
         return n, out
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
-    """Filters of about sample labelled texts of each language (the bound of what is collected here)."""
+    """Filters of about sample labelled texts of each language (the bound of what is collected here). Rows without id
+    and repeated ones are sampled by their text; equal rows count once."""
     spark = docs.sparkSession
     arrow_batches(spark)
     shared = spark.sparkContext.broadcast(tb.class_table())
-    given = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text is not null")
+    given = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Filters([], [])
     chance = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))))
-    part = given.where((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(1 << 30)) < chance[F.col("lang")])
+    part = given.where((F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(1 << 30)) < chance[F.col("lang")]).dropDuplicates(["lang", "h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tb.sized(batches, "text", CHUNK):
@@ -122,11 +126,12 @@ def identify(docs: DataFrame, filters: Filters | None = None, id_col: str = "doc
     spark = docs.sparkSession
     arrow_batches(spark)
     filters = filters or fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
-    shared = spark.sparkContext.broadcast((tb.class_table(), filters))
+    shared = spark.sparkContext.broadcast((tb.class_table(), filters.languages, filters.table, filters.false))
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, held = shared.value
+        classes, languages, cells_of, false = shared.value
+        held = Filters(languages, [], cells_of, false)
         names = np.array([*held.languages, "und"], object)
         for table in tb.sized(batches, "text", CHUNK):
             column = table.column("text").combine_chunks()
