@@ -7,21 +7,30 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.features import MEASURES_SQL, measures
+from tallyforge.llm.features import BLANK, MARKS, MEASURES_SQL, measures
 
-#: Each rule votes 1 (good), -1 (bad) or abstains (0); the same text is SQL in Spark and DuckDB.
+#: Each rule votes 1 (good), -1 (bad) or abstains (0); the same text is SQL in Spark and DuckDB. Several rules look at each kind of
+#: defect in different ways, so that they can confirm or outvote each other.
 RULES = {
     "marks": "case when n_marks * 10 > n_chars then -1 when n_marks * 100 <= n_chars then 1 else 0 end",
+    "mark_runs": "case when n_words < 3 then 0 when n_runs * 4 > n_words then -1 when n_runs * 20 <= n_words then 1 else 0 end",
+    "letters": "case when n_words < 3 then 0 when n_letters * 100 < n_chars * 72 then -1 when n_letters * 100 >= n_chars * 77 then 1 else 0 end",
     "capitals": "case when n_upper * 10 > n_chars * 3 and n_upper > n_words * 2 then -1 when n_upper * 10 <= n_chars or n_upper <= n_words then 1 else 0 end",
     "shouting": "case when n_bang * 20 > n_chars then -1 when n_bang = 0 then 1 else 0 end",
     "lists": "case when n_pipes * 5 > n_words then -1 when n_pipes = 0 then 1 else 0 end",
     "variety": "case when n_words < 30 then 0 when n_distinct * n_distinct < n_words * 4 then -1 when n_distinct * n_distinct > n_words * 16 then 1 else 0 end",
+    "fresh": "case when n_words < 12 then 0 when n_distinct * 4 < n_words and n_distinct * n_distinct < n_words * 16 then -1 when n_distinct * 5 > n_words * 2 or n_distinct * n_distinct > n_words * 16 then 1 else 0 end",
+    "again": "case when n_words < 4 then 0 when n_again * 5 > n_words then -1 when n_again * 50 <= n_words then 1 else 0 end",
     "same_lines": "case when n_lines < 4 then 0 when n_same_lines * 2 >= n_lines then -1 when n_same_lines = 0 then 1 else 0 end",
     "word_size": "case when n_words < 5 then 0 when n_chars < n_words * 3 or n_chars > n_words * 14 then -1 else 1 end",
     "emptiness": "case when n_words = 0 then -1 else 0 end",
 }
-ROUNDS = 10
-PRIOR, DOUBT, SMOOTHING, THRESHOLD = 0.99, 0.02, 0.1, 0.5
+ROUNDS = 20
+#: P(good) to begin with, by the number of bad votes: none, one, or more. One vote alone is doubted, until others confirm its rule.
+START = (0.95, 0.9, 0.05)
+SMOOTHING, THRESHOLD = 0.5, 0.5
+#: No rule is thought to err in fewer than this share of its votes, or in more than all others, on good or on bad documents.
+ERROR = 0.01
 NAMES = list(RULES)
 
 
@@ -29,48 +38,54 @@ def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row:
     """(doc_id, v_<rule> for each rule), and with row all input columns as one struct of that name."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [row] if row else []
-    pipes = (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("bigint").alias("n_pipes")
+    words = F.filter(F.split(F.lower(t), BLANK), lambda w: w != "")
+    repeated = lambda w: F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: a == b), lambda x: x))
+    more = [
+        (F.length(t) - F.length(F.replace(t, F.lit("|"), F.lit("")))).cast("bigint").alias("n_pipes"),
+        (F.length(t) - F.length(F.regexp_replace(t, "\\p{L}+", ""))).cast("bigint").alias("n_letters"),
+        F.regexp_count(t, F.lit(MARKS + "+")).cast("bigint").alias("n_runs"),
+        repeated(words).cast("bigint").alias("n_again"),
+    ]
     whole = [F.struct(*(docs[c] for c in docs.columns)).alias(row)] if row else []
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *whole)
-    return given.select("doc_id", *kept, *measures(), pipes).select("doc_id", *kept, *(F.expr(sql).cast("int").alias(f"v_{n}") for n, sql in RULES.items()))
+    return given.select("doc_id", *kept, *measures(), *more).select("doc_id", *kept, *(F.expr(sql).cast("int").alias(f"v_{n}") for n, sql in RULES.items()))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[list[float], list[list[float]]]:
-    """Share of each class, and P(rule votes good | class, it votes), by expectation-maximisation over distinct vote patterns.
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good documents, and for each rule P(vote good | good) and P(vote good | bad) where it votes, by
+    expectation-maximisation over distinct vote patterns with one latent variable, good or bad. An abstention says nothing.
 
-    Class 0 is good; class j + 1 is the defect that rule j is about, for texts are bad in different ways and
-    the rules for one defect say little about another. An abstention says nothing. It starts by doubting what
-    has a vote for bad, and smooths every probability by SMOOTHING of a document.
+    It starts from the number of bad votes (START): what several rules condemn is thought bad, what one alone condemns good, with some doubt. So a
+    rule whose bad votes no other shares comes out as inaccurate and is outvoted; one that agrees with others is trusted, but not
+    beyond an error rate of ERROR, lest rare votes confirm themselves.
     """
     m = len(RULES)
-    q = []
-    for p, _ in patterns:
-        bad = [float(v == -1) for v in p]
-        good = DOUBT if any(bad) else PRIOR
-        q.append([good] + [(1 - good) * (b / sum(bad) if any(bad) else 1 / m) for b in bad])
+    q = [START[min(sum(v == -1 for v in p), 2)] for p, _ in patterns]
     total = sum(n for _, n in patterns)
-    prior, table = [1 / (m + 1)] * (m + 1), [[0.5] * m for _ in range(m + 1)]
+    prior, table = 0.5, [(0.5, 0.5)] * m
     for _ in range(ROUNDS if patterns else 0):
-        for c in range(m + 1):
-            prior[c] = (sum(n * x[c] for (_, n), x in zip(patterns, q)) + SMOOTHING) / (total + (m + 1) * SMOOTHING)
-            for j in range(m):
-                good, cast = (sum(n * x[c] for (p, n), x in zip(patterns, q) if p[j] in kinds) for kinds in ((1,), (-1, 1)))  # noqa: B023
-                table[c][j] = (good + SMOOTHING) / (cast + 2 * SMOOTHING)
+        prior = (sum(n * x for (_, n), x in zip(patterns, q)) + SMOOTHING) / (total + 2 * SMOOTHING)
+        table = []
+        for j in range(m):
+            cells = []
+            for weight in (q, [1 - x for x in q]):
+                good, cast = (sum(n * x for (p, n), x in zip(patterns, weight) if p[j] in kinds) for kinds in ((1,), (-1, 1)))  # noqa: B023
+                cells.append(min(max((good + SMOOTHING) / (cast + 2 * SMOOTHING), ERROR), 1 - ERROR))
+            table.append(tuple(cells))
         for i, (p, _) in enumerate(patterns):
-            e = [math.exp(math.log(prior[c]) + sum(math.log(table[c][j] if v == 1 else 1 - table[c][j]) for j, v in enumerate(p) if v)) for c in range(m + 1)]
-            q[i] = [x / sum(e) for x in e]
+            odds = math.log(prior / (1 - prior)) + sum(math.log(a / b) if v == 1 else math.log((1 - a) / (1 - b)) for v, (a, b) in zip(p, table) if v)
+            q[i] = 1 / (1 + math.exp(-odds))
     return prior, table
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
     """Posterior quality of every document: (doc_id, n_good, n_bad, quality, keep), one row per input row.
 
-    Rules vote good or bad or abstain. Expectation-maximisation over the distinct vote patterns (their
-    number depends on the rules, not on the data) estimates how often each rule votes what on good and on
-    bad documents where it votes; the posterior probability of good replaces
-    the demand that all rules pass. The votes are
-    counted over all documents. keep: quality at least 0.5. With row, a first column of that name holds the
-    input row, so that a filter needs no join.
+    Rules vote good or bad or abstain. Expectation-maximisation over the distinct vote patterns (their number depends on the rules,
+    not on the data) estimates each rule's accuracies on good and on bad documents, from how rules agree; the posterior
+    probability of good, given all votes and accuracies, replaces the demand that all rules pass. A single bad vote of a
+    rule that errs is outvoted. The votes are counted over all documents. keep: quality at least 0.5. With row, a first
+    column of that name holds the input row, so that a filter needs no join.
 
     A null text counts as an empty one, on which one rule votes bad and most others good or abstain. Null
     ids, equal ids and repeated rows are judged as rows. An empty table gives no rows. Other columns are
@@ -80,36 +95,32 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row:
     columns = [f"v_{n}" for n in NAMES]
     patterns = [(tuple(r[c] for c in columns), r["n"]) for r in cast.groupBy(*columns).agg(F.count("*").alias("n")).collect()]
     prior, table = estimate(sorted(patterns))
-    likelihood = []
-    for share, row in zip(prior, table):
-        total = F.lit(math.log(share))
-        for c, p in zip(columns, row):
-            total = total + F.when(F.col(c) == 1, math.log(p)).when(F.col(c) == -1, math.log(1 - p)).otherwise(0.0)
-        likelihood.append(F.exp(total))
+    odds = F.lit(math.log(prior / (1 - prior)))
+    for c, (a, b) in zip(columns, table):
+        odds = odds + F.when(F.col(c) == 1, math.log(a / b)).when(F.col(c) == -1, math.log((1 - a) / (1 - b))).otherwise(0.0)
     count = lambda v: sum((F.col(c) == v).cast("int") for c in columns)
-    out = cast.select(*kept, "doc_id", count(1).alias("n_good"), count(-1).alias("n_bad"), F.round(likelihood[0] / sum(likelihood[1:], likelihood[0]), 6).alias("quality"))
+    out = cast.select(*kept, "doc_id", count(1).alias("n_good"), count(-1).alias("n_bad"), F.round(1 / (1 + F.exp(-odds)), 6).alias("quality"))
     return out.withColumn("keep", F.col("quality") >= THRESHOLD)
 
 
 def _sql() -> str:
     rules = ", ".join(f"{sql} v_{n}" for n, sql in RULES.items())
     cols = [f"v_{n}" for n in NAMES]
-    m = len(cols)
-    bad, each = " or ".join(f"{c} = -1" for c in cols), " + ".join(f"({c} = -1)::int" for c in cols)
-    good = f"(case when {bad} then {DOUBT} else {PRIOR} end)::double"
-    steps = [f"q0 as materialized (select *, {good} q_0, " + ", ".join(f"(1 - {good}) * case when {bad} then ({c} = -1)::int / ({each})::double else 1 / {m}::double end q_{j + 1}" for j, c in enumerate(cols)) + " from patterns)"]
+    bad = " + ".join(f"({c} = -1)::int" for c in cols)
+    steps = [f"q0 as materialized (select *, (case {bad} when 0 then {START[0]} when 1 then {START[1]} else {START[2]} end)::double q from patterns)"]
     for k in range(1, ROUNDS + 1):
-        cells = ", ".join(f"coalesce(sum(n * q_{c}), 0) s_{c}, " + ", ".join(f"(coalesce(sum(n * q_{c}) filter ({v} = 1), 0) + {SMOOTHING}) / (coalesce(sum(n * q_{c}) filter ({v} <> 0), 0) + {2 * SMOOTHING}) p_{c}_{j}" for j, v in enumerate(cols)) for c in range(m + 1))
-        steps.append(f"m{k} as materialized (select sum(n) t, {cells} from q{k - 1})")
-        e = ", ".join(f"exp(ln((s_{c} + {SMOOTHING}) / (t + {(m + 1) * SMOOTHING})) + " + " + ".join(f"case {v} when 1 then ln(p_{c}_{j}) when -1 then ln(1 - p_{c}_{j}) else 0 end" for j, v in enumerate(cols)) + f") e_{c}" for c in range(m + 1))
-        whole = " + ".join(f"e_{c}" for c in range(m + 1))
-        steps.append(f"e{k} as materialized (select {', '.join(cols)}, n, {e} from q{k - 1}, m{k})")
-        steps.append(f"q{k} as materialized (select {', '.join(cols)}, n, " + ", ".join(f"e_{c} / ({whole}) q_{c}" for c in range(m + 1)) + f" from e{k})")
-    pipes = "length(coalesce(text, '')) - length(replace(coalesce(text, ''), '|', '')) n_pipes"
+        share = lambda w, v: f"least(greatest((coalesce(sum(n * {w}) filter ({v} = 1), 0) + {SMOOTHING}) / (coalesce(sum(n * {w}) filter ({v} <> 0), 0) + {2 * SMOOTHING}), {ERROR}), {1 - ERROR})"
+        cells = ", ".join(f"{share('q', v)} a{j}, {share('(1 - q)', v)} b{j}" for j, v in enumerate(cols))
+        steps.append(f"m{k} as materialized (select (sum(n * q) + {SMOOTHING}) / (sum(n) + {2 * SMOOTHING}) p, {cells} from q{k - 1})")
+        odds = "ln(p / (1 - p)) + " + " + ".join(f"case {v} when 1 then ln(a{j} / b{j}) when -1 then ln((1 - a{j}) / (1 - b{j})) else 0 end" for j, v in enumerate(cols))
+        steps.append(f"q{k} as materialized (select {', '.join(cols)}, n, 1 / (1 + exp(-({odds}))) q from q{k - 1}, m{k})")
+    t = "coalesce(text, '')"
+    words = f"list_filter(string_split_regex(lower({t}), '{BLANK}'), lambda w: w <> '')"
+    more = f"""length({t}) - length(replace({t}, '|', '')) n_pipes, length({t}) - length(regexp_replace({t}, '\\p{{L}}+', '', 'g')) n_letters,
+ len(regexp_extract_all({t}, '{MARKS}+')) n_runs, len(list_filter(list_zip({words}, ({words})[2:]), lambda z: z[1] = z[2])) n_again"""
     count = lambda v: " + ".join(f"({c} = {v})::int" for c in cols)
-    return f"""with cast_ as materialized (select doc_id, {rules} from (select doc_id, {MEASURES_SQL}, {pipes} from documents)),
+    return f"""with cast_ as materialized (select doc_id, {rules} from (select doc_id, {MEASURES_SQL}, {more} from documents)),
 patterns as (select {', '.join(cols)}, count(*) n from cast_ group by all), {', '.join(steps)}
-select doc_id, ({count(1)})::int n_good, ({count(-1)})::int n_bad, round(q_0, 6) quality, round(q_0, 6) >= {THRESHOLD} keep from cast_ join q{ROUNDS} using ({', '.join(cols)})"""
-
+select doc_id, ({count(1)})::int n_good, ({count(-1)})::int n_bad, round(q, 6) quality, round(q, 6) >= {THRESHOLD} keep from cast_ join q{ROUNDS} using ({', '.join(cols)})"""
 
 ORACLE = _sql()
