@@ -325,3 +325,127 @@ def test_pipeline_equals_its_parts(spark, sf, coding):
     text = {r["doc_id"]: r["text"] for r in frame.collect()}
     assert {r["doc_id"] for r in got} == {d for d in left if re.search(r"[^ \t\n\r]", text[d])}
     assert all(list(r["tokens"]) == coding.encode_ordinary(text[r["doc_id"]]) for r in got)
+
+
+def outcome(patterns, chosen):
+    """Posterior quality of a vote pattern, given as the rules that vote bad."""
+    prior, table = op08_rules.estimate(sorted(patterns.items()))
+    votes = [-1 if n in chosen else 1 for n in op08_rules.NAMES]
+    odds = math.log(prior / (1 - prior)) + sum(math.log(a / b) if v == 1 else math.log((1 - a) / (1 - b)) for v, (a, b) in zip(votes, table))
+    return 1 / (1 + math.exp(-odds))
+
+
+@pytest.mark.parametrize("share", [0.001, 0.02, 0.2, 0.4])
+def test_rules_outvote_one_that_misfires(share):
+    rng = np.random.default_rng(4)
+    patterns = Counter()
+    for i in range(10_000):
+        bad = ("marks", "mark_runs", "letters") if i % 10 == 0 else ("capitals", "shouting") if i % 10 == 1 else ("word_size",) if rng.random() < share else ()
+        patterns[tuple(-1 if n in bad else 1 for n in op08_rules.NAMES)] += 1
+    assert outcome(patterns, ("word_size",)) > 0.5 and outcome(patterns, ()) > 0.9
+    assert outcome(patterns, ("marks", "mark_runs", "letters")) < 0.05 and outcome(patterns, ("capitals", "shouting")) < 0.1
+
+
+def test_rules_are_not_a_filter_that_all_must_pass(spark, sf):
+    every = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    long_words = " ".join("abcdefghijklmnopqrst"[i:] + "abcdefghijklmnopqrst"[:i] for i in range(20))  # one rule's vote is bad
+    got = op08_rules.judged(every.unionByName(spark.createDataFrame([(10**6, long_words)], "doc_id bigint, text string"))).collect()
+    one = next(r for r in got if r["doc_id"] == 10**6)
+    assert one["n_bad"] == 1 and one["keep"] and any(not r["keep"] for r in got)
+
+
+def test_long_pages_and_records_of_real_responses(spark):
+    odd = {"comment": "<!-- x " * 150_000, "tags": "<" * 1_000_000, "hidden": "<script>a" * 100_000, "title": "<title" * 150_000, "link": "<a " * 300_000}
+    pages = spark.createDataFrame([(i, "http://a", t) for i, t in enumerate(odd.values())], "page_id bigint, url string, html string")
+    assert op07_warc.derivatives(op07_warc.responses(pages)).agg(F.count("*"), F.sum(F.length("record"))).first()[0] == 2 * len(odd)
+    http = "HTTP/1.1 404 Not Found\r\nServer: böx\r\nContent-Type: text/html\r\nX-Two: a\r\nX-Two: b\r\n\r\n"
+    payload = "<p>gone <!-- a <!-- b --> now</p>"
+    block = http + payload
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x/\r\nWARC-Date: 2020-02-02T00:00:00Z\r\nWARC-Block-Digest: sha1:AA\r\nContent-Length: {len(block.encode())}\r\n\r\n"
+    rows = [(1, head + block + "\r\n\r\n"), (2, head.replace("response", "request") + block), (3, None), (4, "no record"), (5, "")]
+    source = op07_warc.read_responses(spark.createDataFrame(rows, "page_id bigint, record string"))
+    got = source.collect()
+    assert len(got) == 1 and (got[0]["http"], got[0]["payload"], got[0]["record_id"], got[0]["block_digest"]) == (http, payload, "<urn:uuid:1>", "sha1:AA")
+    made = {r["record_type"]: r for r in op07_warc.derivatives(source).collect()}
+    assert "source-header: HTTP/1.1 404 Not Found\r\nsource-header: Server: böx" in made["metadata"]["record"] and "source-block-digest: sha1:AA" in made["metadata"]["record"]
+    assert made["conversion"]["refers_to"] == "<urn:uuid:1>" and made["conversion"]["record"].split("\r\n\r\n")[1] == "gone now"
+
+
+def test_long_words_equal_another_encoder(spark, coding):
+    rng = np.random.default_rng(8)
+    letters = lambda n, kinds: "".join(chr(97 + int(i)) for i in rng.integers(0, kinds, n))
+    texts = [letters(n, k) for n in (127, 128, 129, 700) for k in (2, 26)] + [letters(20_000, 26), "abc" * 2000, "ab" * 3000, "日本語" * 300, "-=" * 400]
+    got = op10_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert all(list(r["tokens"]) == coding.encode_ordinary(texts[r["doc_id"]]) and r["round_trip"] for r in got)
+    back = spark.createDataFrame([(list(r["tokens"]),) for r in got if len(r["tokens"]) < 500], "t array<int>").select(op10_bpe.decoded("t").alias("x")).collect()
+    assert {r["x"] for r in back} <= set(texts)
+
+
+def test_topk_of_a_query_set_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(np.concatenate([rng.normal(c, 0.05, (150, 8)) for c in rng.normal(size=(6, 8)) * 3]), 3)
+    x[:300] = x[0]  # a third of all rows is one vector
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [math.inf] * 8)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(op02_topk.top_k(frame, 5, queries=frame.where("vec_id % 100 = 0"), shard=64, block=3).collect()):
+        got[r["vec_id"]].append((r["neighbor_id"], r["rank"]))
+    score = np.round(x @ x.T, 6) + 0.0
+    assert set(got) == set(range(0, 900, 100))
+    for i in got:
+        want = sorted((j for j in range(900) if j != i), key=lambda j: (-score[i, j], j))[:5]
+        assert got[i] == [(j, k + 1) for k, j in enumerate(want)]
+
+
+def test_topk_prunes_clustered_data():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(8, 16)) * 4
+    x = np.concatenate([rng.normal(c, 0.1, (512, 16)) for c in centres])
+    best = op02_topk.Best(8, 10)
+    order, tree = op02_topk.build(x)
+    op02_topk.search(centres, np.full(8, -1), x[order], order, tree, best)
+    assert best.products < 0.5 * 8 * len(x)
+
+
+def test_languages_equal_exact_sets(spark, sf):
+    every = spark.read.parquet(f"{sf}/documents.parquet")
+    import pyarrow as pa
+
+    rows = every.select("doc_id", "text", "lang").collect()
+    classes, sets = tb.class_table(), {}
+    for lang in sorted({r["lang"] for r in rows}):
+        h, _ = op06_langid.grams(pa.array([r["text"] for r in rows if r["lang"] == lang]), classes)
+        keys, n = np.unique(h, return_counts=True)
+        sets[lang] = keys[n >= op06_langid.LEAST]
+    filters = op06_langid.Filters(list(sets), list(sets.values()))
+    got = {r["doc_id"]: r for r in op06_langid.identify(every, filters).collect()}
+    for r in rows:
+        h, _ = op06_langid.grams(pa.array([r["text"]]), classes)
+        assert got[r["doc_id"]]["n_grams"] == len(h)
+        if len(h) >= 20:
+            shares = sorted((float(np.isin(h, s).mean()), lang) for lang, s in sets.items())
+            assert abs(got[r["doc_id"]]["rate"] - shares[-1][0]) < 0.06
+            if shares[-1][0] - shares[-2][0] > 0.12:
+                assert got[r["doc_id"]]["language"] == shares[-1][1]
+
+
+def test_simhash_equals_its_definition(spark):
+    texts = ["one two two three", "Größe 12 größe", "a a a a b"]
+    got = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in op09_simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    mask = 2**64 - 1
+
+    def word_hash(w):
+        total = len(w)
+        for i, b in enumerate(w):
+            total += (b + 1) * pow(0x9E3779B97F4A7C15, i + 1, 2**64)
+        h = total & mask
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & mask
+        return h ^ (h >> 31)
+
+    for i, t in enumerate(texts):
+        sums = [0.0] * 64
+        for w, n in Counter(regex.findall(r"[\p{L}\p{N}]+", t.lower())).items():
+            h = word_hash(w.encode())
+            for b in range(64):
+                sums[b] += n**0.25 * (1 if h >> b & 1 else -1)
+        assert got[i] == sum(1 << b for b in range(64) if sums[b] > 0)
