@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,16 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 SQUEEZE = [("[ \\t\\r\\f\\x{a0}]+", " "), (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+", ""), ("[ \\n]+$", "")]
 
 
-def pieces(html: Column, pattern: str) -> Column:
-    return F.split(html, pattern, -1)
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
 
 
 def without(html: Column, closing: str, opening: str, to: str) -> Column:
     """html without what stands between the first opening and the next closing, over and over. The text is split at the closings,
     so that its length alone counts, not how many openings lack one."""
-    parts = pieces(html, closing)
-    changed = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda s: F.regexp_replace(s, opening, to))
-    return F.concat(F.array_join(changed, ""), F.element_at(parts, -1))
+    cut = lambda s: F.regexp_replace(s, opening, to)
+    return let(F.split(html, closing, -1), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), cut), ""), F.element_at(parts, -1)))
 
 
 def before_tag(s: Column) -> Column:
@@ -39,8 +41,7 @@ def plain(html: Column) -> Column:
     html = without(html, "-->", "(?s)<!--.*", "")
     for tag in HIDDEN:
         html = without(html, f"(?i)</{tag}\\s*>", f"(?is)<{tag}\\b.*", "\n")
-    parts = pieces(html, ">")
-    html = F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), before_tag), ""), F.element_at(parts, -1))
+    html = let(F.split(html, ">", -1), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), before_tag), ""), F.element_at(parts, -1)))
     for name, to in ENTITIES:
         html = F.replace(html, F.lit(name), F.lit(to))
     for pattern, to in SQUEEZE:
@@ -50,16 +51,14 @@ def plain(html: Column) -> Column:
 
 def title_of(html: Column) -> Column:
     """What stands between the first '<title ...>' and the first closing tag of a title; empty without one."""
-    parts = F.split(html, "(?i)</title\\s*>", 2)
-    opened = F.split(parts[0], "(?i)<title", 2)
-    rest = opened[1]
-    return F.when((F.size(parts) == 2) & (F.size(opened) == 2) & (F.instr(rest, ">") > 0), F.substr(rest, F.instr(rest, ">") + 1)).otherwise("")
+    inner = lambda parts: let(F.split(parts[0], "(?i)<title", 2), lambda opened: F.when((F.size(parts) == 2) & (F.size(opened) == 2) & (F.instr(F.get(opened, F.lit(1)), ">") > 0), F.substr(F.get(opened, F.lit(1)), F.instr(F.get(opened, F.lit(1)), ">") + 1)).otherwise(""))
+    return let(F.split(html, "(?i)</title\\s*>", 2), inner)
 
 
 def count_links(html: Column) -> Column:
     """Pieces up to a '>' whose first tag is an <a> with a href."""
-    parts = pieces(html, ">")
-    return F.size(F.filter(F.slice(parts, 1, F.size(parts) - 1), lambda s: F.rlike(F.substr(s, F.greatest(F.instr(s, "<"), F.lit(1))), F.lit("(?is)^<a\\s+.*href"))))
+    link = lambda s: F.rlike(F.substr(s, F.greatest(F.instr(s, "<"), F.lit(1))), F.lit("(?is)^<a\\s+.*href"))
+    return let(F.split(html, ">", -1), lambda parts: F.size(F.filter(F.slice(parts, 1, F.size(parts) - 1), link)))
 
 
 def urn(*parts: Column) -> Column:
