@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
-#: Elements whose content isn't text, those that break a line, and named characters.
-HIDDEN = ("head", "script", "style", "noscript", "template")
+#: Elements whose content isn't text (those of one group don't nest), those that break a line, and named characters.
+HIDDEN = ("script|style", "noscript|template", "head")
 BREAKS = "p|div|br|hr|h[1-6]|li|ul|ol|dl|dt|dd|tr|table|article|section|nav|header|footer|main|aside|blockquote|pre|figure|form|body|html|title"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 SQUEEZE = [("[ \\t\\r\\f\\x{a0}]+", " "), (" ?\\n[ \\n]*", "\n"), ("^[ \\n]+", ""), ("[ \\n]+$", "")]
@@ -40,17 +40,22 @@ def plain(html: Column) -> Column:
     elements that nothing closes stay, but for their tags. In time that grows with the length of any text."""
     html = without(html, "-->", "(?s)<!--.*", "")
     for tag in HIDDEN:
-        html = without(html, f"(?i)</{tag}\\s*>", f"(?is)<{tag}\\b.*", "\n")
+        html = without(html, f"(?i)</(?:{tag})\\s*>", f"(?is)<(?:{tag})\\b.*", "\n")
     html = let(F.split(html, ">", -1), lambda parts: F.concat(F.array_join(F.transform(F.slice(parts, 1, F.size(parts) - 1), before_tag), ""), F.element_at(parts, -1)))
+    return squeezed(html)
+
+
+def squeezed(text: Column) -> Column:
+    """text with named characters resolved and white space squeezed."""
     for name, to in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(to))
+        text = F.replace(text, F.lit(name), F.lit(to))
     for pattern, to in SQUEEZE:
-        html = F.regexp_replace(html, pattern, to)
-    return html
+        text = F.regexp_replace(text, pattern, to)
+    return text
 
 
 def title_of(html: Column) -> Column:
-    """What stands between the first '<title ...>' and the first closing tag of a title; empty without one."""
+    """What stands between the first '<title ...>' and the first closing tag of a title (tags have no meaning there); empty without one."""
     inner = lambda parts: let(F.split(parts[0], "(?i)<title", 2), lambda opened: F.when((F.size(parts) == 2) & (F.size(opened) == 2) & (F.instr(F.get(opened, F.lit(1)), ">") > 0), F.substr(F.get(opened, F.lit(1)), F.instr(F.get(opened, F.lit(1)), ">") + 1)).otherwise(""))
     return let(F.split(html, "(?i)</title\\s*>", 2), inner)
 
@@ -124,7 +129,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     headers = F.regexp_replace(F.regexp_replace("http", "\\r\\n\\r\\n$", ""), "(?m)^", "source-header: ")
     fields = F.concat(
         headers, F.lit("\r\nsource-block-digest: "), "source_block_digest", F.lit("\r\nsource-payload-digest: "), "source_digest",
-        F.lit("\r\nsource-payload-length: "), F.octet_length("payload").cast("string"), F.lit("\r\ntitle: "), F.regexp_replace(plain(title), "\\n", " "), F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"),
+        F.lit("\r\nsource-payload-length: "), F.octet_length("payload").cast("string"), F.lit("\r\ntitle: "), F.regexp_replace(squeezed(title), "\\n", " "), F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"),
     )
     ids = base.withColumns({"meta_id": urn(F.lit("metadata"), F.col("refers_to")), "text_id": urn(F.lit("conversion"), F.col("refers_to"))})
     kinds = F.array(
@@ -151,8 +156,11 @@ def _sql() -> str:
     def clean(x: str) -> str:
         x = last(x, "-->", "regexp_replace(s, '(?s)<!--.*', '')")
         for tag in HIDDEN:
-            x = last(x, f"(?i)</{tag}\\s*>", f"regexp_replace(s, '(?is)<{tag}\\b.*', chr(10))")
+            x = last(x, f"(?i)</(?:{tag})\\s*>", f"regexp_replace(s, '(?is)<(?:{tag})\\b.*', chr(10))")
         x = last(x, ">", f"case when instr(s, '<') = 0 then s || '>' when regexp_matches(substr(s, instr(s, '<')), '(?i)^</?(?:{BREAKS})\\b') then substr(s, 1, instr(s, '<') - 1) || chr(10) else substr(s, 1, instr(s, '<') - 1) end")
+        return squeeze(x)
+
+    def squeeze(x: str) -> str:
         for name, to in ENTITIES:
             x = f"replace({x}, {quote(name)}, {quote(to)})"
         for p, to in SQUEEZE:
@@ -170,7 +178,7 @@ named as (select *, {uuid("concat('response|', page_id, '|', target_uri, '|', so
 ids as (select *, {uuid("'metadata|' || refers_to")} meta_id, {uuid("'conversion|' || refers_to")} text_id from named),
 both_ as (select page_id, refers_to, target_uri, source_digest, 'metadata' record_type, meta_id record_id, text_id linked_to, 'application/warc-fields' content_type,
  'source-header: HTTP/1.1 200 OK' || {nl} || 'source-header: Content-Type: text/html; charset=utf-8' || {nl} || 'source-header: Content-Length: ' || strlen(payload) || {nl} || 'source-block-digest: ' || source_block_digest || {nl}
- || 'source-payload-digest: ' || source_digest || {nl} || 'source-payload-length: ' || strlen(payload) || {nl} || 'title: ' || regexp_replace({clean(title)}, '\\n', ' ', 'g') || {nl}
+ || 'source-payload-digest: ' || source_digest || {nl} || 'source-payload-length: ' || strlen(payload) || {nl} || 'title: ' || regexp_replace({squeeze(title)}, '\\n', ' ', 'g') || {nl}
  || 'outlinks: ' || {links} || {nl} block from ids
  union all select page_id, refers_to, target_uri, source_digest, 'conversion', text_id, meta_id, 'text/plain; charset=utf-8', {clean('payload')} from ids),
 done as (select *, strlen(block)::bigint content_length, 'sha256:' || sha256(block) block_digest from both_)
