@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,35 +13,87 @@ from tallyforge.functions import distributions as dist
 
 
 def one(df: DataFrame, /, **values: float) -> DataFrame:
-    return df.sparkSession.createDataFrame([{k: float(v) for k, v in values.items()}])
+    return df.sparkSession.createDataFrame([tuple(None if v is None else float(v) for v in values.values())], ", ".join(f"{k} double" for k in values))
+
+
+def ratio(a: float | None, b: float | None) -> float:
+    """a / b, NaN where that isn't defined."""
+    return a / b if a is not None and b else math.nan
 
 
 def moments(df: DataFrame, value: str) -> dict[str, float]:
-    """n, mean and central moments m2, m3, m4 (divided by n), from two passes."""
+    """n, mean and central moments m2, m3, m4 (divided by n), from two passes; NaN without rows."""
     x = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
     n, mean = x.agg(F.count("*"), F.avg("x")).first()
     d = F.col("x") - F.lit(mean)
-    m2, m3, m4 = x.agg(F.avg(d * d), F.avg(d * d * d), F.avg(d * d * d * d)).first() if n else (None,) * 3
-    return {"n": n, "mean": mean, "m2": m2, "m3": m3, "m4": m4}
+    m2, m3, m4 = x.agg(F.avg(d * d), F.avg(d * d * d), F.avg(d * d * d * d)).first() if n else (math.nan,) * 3
+    return {"n": n, "mean": mean if n else math.nan, "m2": m2, "m3": m3, "m4": m4}
+
+
+def shape(m: dict[str, float]) -> tuple[float, float]:
+    """Skewness and kurtosis; NaN where all values are equal."""
+    return (m["m3"] / m["m2"] ** 1.5, m["m4"] / m["m2"] ** 2) if m["n"] and m["m2"] > 0 else (math.nan, math.nan)
+
+
+#: Up to so many distinct values, exact quantiles come from one aggregate that holds them; beyond, from a range-partitioned count.
+DISTINCT = 2_000_000
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles with interpolation. Few distinct values: one aggregate. Many: the rows are counted by range of value, and
+    only the ranges that hold a wanted place are sorted, so that no task holds all values. NaN without rows."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    n, distinct = x.agg(F.count("*"), F.approx_count_distinct("x")).first()
+    if not n:
+        return [math.nan] * len(shares)
+    if distinct <= DISTINCT:
+        return list(x.agg(F.percentile("x", F.array(*(F.lit(float(p)) for p in shares)))).first()[0])
+    cuts = sorted(set(x.agg(F.percentile_approx("x", F.array(*(F.lit(i / 200) for i in range(1, 200))), 1000)).first()[0]))
+    at = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col("x")))
+    placed = x.withColumn("r", at)
+    counts = {r["r"]: r["count"] for r in placed.groupBy("r").count().collect()}  # at most 200 rows
+    base, upto = {}, 0
+    for r in sorted(counts):
+        base[r], upto = upto, upto + counts[r]
+    places = sorted({k for p in shares for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    needed = sorted({r for r in counts for k in places if base[r] <= k < base[r] + counts[r]})
+    grouped = placed.where(F.col("r").isin(needed)).groupBy("r", "x").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.element_at(F.map_from_arrays(F.array(*map(F.lit, needed)), F.array(*(F.lit(base[r]) for r in needed))), F.col("r"))
+    ends = grouped.withColumn("hi", upto + first).withColumn("lo", F.col("hi") - F.col("c"))
+    wanted = F.exists(F.array(*(F.lit(k) for k in places)), lambda k: (k >= F.col("lo")) & (k < F.col("hi")))
+    found = ends.where(wanted).select("x", "lo", "hi").collect()
+    value_at = {k: r["x"] for k in places for r in found if r["lo"] <= k < r["hi"]}
+    out = []
+    for p in shares:
+        t = p * (n - 1)
+        lo, hi = math.floor(t), math.ceil(t)
+        out.append(value_at[lo] + (value_at[hi] - value_at[lo]) * (t - lo))
+    return out
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """One row: count, missing, mean, std, coefficient of variation, quartiles by interpolation, min, max, skewness and kurtosis (3 for a normal)."""
-    m = moments(df, value)
+    """One row: count, missing, mean, std, coefficient of variation, quartiles by interpolation, min, max, skewness and kurtosis (3
+    for a normal). Without rows all but the counts are NaN; with one, what needs two."""
     x = F.col(value).cast("double")
     ok = x.isNotNull() & ~F.isnan(x)
-    q = df.where(ok).agg(*(F.percentile(x, p).alias(f"p{int(100 * p)}") for p in (0.05, 0.25, 0.5, 0.75, 0.95)), F.min(x).alias("min"), F.max(x).alias("max")).first()
-    missing = df.where(~ok | x.isNull()).count()
-    s = math.sqrt(m["m2"] * m["n"] / (m["n"] - 1))
-    return one(df, nobs=m["n"], missing=missing, mean=m["mean"], std=s, coef_var=s / m["mean"], skew=m["m3"] / m["m2"] ** 1.5, kurtosis=m["m4"] / m["m2"] ** 2, **q.asDict())
+    m = moments(df, value)
+    total, low, high = df.agg(F.count("*"), F.min(F.when(ok, x)), F.max(F.when(ok, x))).first()
+    p = (0.05, 0.25, 0.5, 0.75, 0.95)
+    q = {f"p{int(100 * a)}": v for a, v in zip(p, quantiles(df, value, list(p)))}
+    s = math.sqrt(m["m2"] * m["n"] / (m["n"] - 1)) if m["n"] > 1 else math.nan
+    skew, kurt = shape(m)
+    return one(df, nobs=m["n"], missing=total - m["n"], mean=m["mean"], std=s, coef_var=ratio(s, m["mean"]), skew=skew, kurtosis=kurt, **q, min=math.nan if low is None else low, max=math.nan if high is None else high)
 
 
 def weighted(df: DataFrame, value: str, weight: str) -> DataFrame:
-    """Weighted mean, variance (ddof 0) and the standard deviation of the mean."""
+    """Weighted mean, variance (ddof 0) and the standard deviation of the mean. NaN without weight."""
     x, w = F.col(value), F.col(weight)
-    total, mean = df.agg(F.sum(w), F.sum(w * x) / F.sum(w)).first()
+    total, mean = df.agg(F.sum(w), F.sum(w * x) / F.nullif(F.sum(w), F.lit(0.0))).first()
+    if not total:
+        return one(df, sum_weights=total or 0.0, mean=math.nan, var=math.nan, std_mean=math.nan)
     var = df.agg(F.sum(w * (x - F.lit(mean)) * (x - F.lit(mean)))).first()[0] / total
-    return one(df, sum_weights=total, mean=mean, var=var, std_mean=math.sqrt(var / (total - 1)))
+    return one(df, sum_weights=total, mean=mean, var=var, std_mean=math.sqrt(var / (total - 1)) if total > 1 else math.nan)
 
 
 def by_group(df: DataFrame, value: str, group: str) -> list[tuple]:
@@ -48,24 +101,64 @@ def by_group(df: DataFrame, value: str, group: str) -> list[tuple]:
     return sorted(tuple(r) for r in df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(value), F.avg(value), F.var_samp(value)).collect())
 
 
-def ttest_ind(df: DataFrame, value: str, group: str, a, b, pooled: bool = True) -> DataFrame:
-    """Student's (pooled) or Welch's t of two groups."""
+def ttest_ind(df: DataFrame, value: str, group: str, a, b, pooled: bool = True, diff: float = 0.0, alternative: str = "two-sided") -> DataFrame:
+    """Student's (pooled) or Welch's t of two groups' difference of means against diff. NaN where a group has fewer than two rows."""
+    t, dof, _ = two_means(df, value, group, a, b, pooled, diff)
+    return one(df, tstat=t, df=dof, pvalue=tail(t, alternative, lambda z: dist.t_sf(z, dof)))
+
+
+def tail(stat: float, alternative: str, sf) -> float:
+    """p-value of a symmetric statistic: two-sided, larger or smaller."""
+    if not math.isfinite(stat):
+        return math.nan if math.isnan(stat) else {"two-sided": 0.0, "larger": float(stat < 0), "smaller": float(stat > 0)}[alternative]
+    return {"two-sided": lambda: 2 * sf(abs(stat)), "larger": lambda: sf(stat), "smaller": lambda: sf(-stat)}[alternative]()
+
+
+def two_means(df: DataFrame, value: str, group: str, a, b, pooled: bool, diff: float = 0.0) -> tuple[float, float, float]:
     g = {r[0]: r[1:] for r in by_group(df.where(F.col(group).isin(a, b)), value, group)}
-    (n1, m1, v1), (n2, m2, v2) = g[a], g[b]
+    (n1, m1, v1), (n2, m2, v2) = (g.get(k, (0, None, None)) for k in (a, b))
+    if n1 < 2 or n2 < 2:
+        return math.nan, math.nan, math.nan
     if pooled:
         dof = n1 + n2 - 2
         se = math.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / dof * (1 / n1 + 1 / n2))
     else:
         se = math.sqrt(v1 / n1 + v2 / n2)
-        dof = se**4 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1))
-    t = (m1 - m2) / se
-    return one(df, tstat=t, df=dof, pvalue=2 * dist.t_sf(abs(t), dof))
+        dof = se**4 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) if se else math.nan
+    return (m1 - m2 - diff) / se if se else math.nan, dof, se
+
 
+def ttost_ind(df: DataFrame, value: str, group: str, a, b, low: float, high: float, pooled: bool = True) -> DataFrame:
+    """Equivalence of two means within [low, high] by two one-sided tests; pvalue is the larger one."""
+    t1, dof, _ = two_means(df, value, group, a, b, pooled, low)
+    t2, _, _ = two_means(df, value, group, a, b, pooled, high)
+    sf = lambda z: dist.t_sf(z, dof)
+    p1, p2 = tail(t1, "larger", sf), tail(t2, "smaller", sf)
+    return one(df, pvalue=max(p1, p2), t_low=t1, p_low=p1, t_high=t2, p_high=p2, df=dof)
 
-def ztest_one(df: DataFrame, value: str, mean: float) -> DataFrame:
+
+def ztest_one(df: DataFrame, value: str, mean: float, alternative: str = "two-sided") -> DataFrame:
     n, m, v = df.agg(F.count(value), F.avg(value), F.var_samp(value)).first()
-    z = (m - mean) / math.sqrt(v / n)
-    return one(df, zstat=z, pvalue=2 * dist.norm_sf(abs(z)))
+    z = ratio(m - mean, math.sqrt(v / n)) if n > 1 else math.nan
+    return one(df, zstat=z, pvalue=tail(z, alternative, dist.norm_sf))
+
+
+def ztest_two(df: DataFrame, value: str, group: str, a, b, diff: float = 0.0, alternative: str = "two-sided") -> DataFrame:
+    """z of two groups' means with the pooled variance."""
+    z, _, _ = two_means(df, value, group, a, b, True, diff)
+    return one(df, zstat=z, pvalue=tail(z, alternative, dist.norm_sf))
+
+
+def ttest_mean(df: DataFrame, value: str, mean: float = 0.0, weight: str | None = None, alternative: str = "two-sided") -> DataFrame:
+    """One mean (weighted by counts) against a value."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    x = df.where(F.col(value).isNotNull())
+    total, m = x.agg(F.sum(w), F.sum(w * F.col(value)) / F.sum(w)).first()
+    if not total or total <= 1:
+        return one(df, tstat=math.nan, df=math.nan, pvalue=math.nan)
+    var = x.agg(F.sum(w * F.pow(F.col(value) - F.lit(m), 2))).first()[0] / (total - 1)
+    t = ratio(m - mean, math.sqrt(var / total))
+    return one(df, tstat=t, df=total - 1, pvalue=tail(t, alternative, lambda z: dist.t_sf(z, total - 1)))
 
 
 def oneway(df: DataFrame, value: str, group: str, kind: str = "equal") -> DataFrame:
@@ -95,7 +188,61 @@ def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
     g = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v"))
     s = g.agg((F.sum(F.expr("(n - 1) * v")) / F.sum(F.expr("n - 1"))).alias("s2"))
     a, b = (g.select(*(F.col(c).alias(f"{c}{i}") for c in "gnm")) for i in (1, 2))
-    return a.join(b, F.col("g1") < F.col("g2")).crossJoin(s).select(F.col("g1").alias("group1"), F.col("g2").alias("group2"), F.expr("m2 - m1").alias("meandiff"), F.expr("sqrt(s2 / 2 * (1 / n1 + 1 / n2))").alias("std_pair"))
+    return a.join(b, F.col("g1") < F.col("g2")).join(F.broadcast(s)).select(F.col("g1").alias("group1"), F.col("g2").alias("group2"), F.expr("m2 - m1").alias("meandiff"), F.expr("sqrt(s2 / 2 * (1 / n1 + 1 / n2))").alias("std_pair"))
+
+
+def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
+    """Every pair of groups (at most as many as the driver's memory holds): meandiff, std_pair, q, pvalue of the studentised range, simultaneous interval, reject."""
+    g = by_group(df, value, group)
+    k, dof = len(g), sum(r[1] - 1 for r in g)
+    s2 = sum((r[1] - 1) * r[3] for r in g if r[1] > 1) / dof
+    cut = srange_ppf(1 - alpha, k, dof)
+    rows = []
+    for i, a in enumerate(g):
+        for b in g[i + 1 :]:
+            d, se = b[2] - a[2], math.sqrt(s2 / 2 * (1 / a[1] + 1 / b[1]))
+            q = abs(d) / se if se else math.nan
+            rows.append((str(a[0]), str(b[0]), *map(float, (d, se, q, srange_sf(q, k, dof), d - cut * se, d + cut * se)), bool(q > cut)))
+    return df.sparkSession.createDataFrame(rows, "group1 string, group2 string, meandiff double, std_pair double, q double, pvalue double, ci_low double, ci_high double, reject boolean")
+
+
+def srange_cdf(q: float, k: int, dof: float) -> float:
+    """Studentised range of k means: the range of normals integrated over the scale, both by Gauss and Legendre's points."""
+    if q <= 0:
+        return 0.0
+    z, w = np.polynomial.legendre.leggauss(64)
+
+    def ranges(r: np.ndarray) -> np.ndarray:
+        """P(range of k standard normals <= r)."""
+        t = 8.5 * z
+        inner = np.clip(np.asarray(dist.norm_cdf(t[None, :])) - np.asarray(dist.norm_cdf(t[None, :] - r[:, None])), 0, 1) ** (k - 1)
+        return np.clip(k * 8.5 * (w * np.asarray(dist.norm_pdf(t)) * inner).sum(1), 0, 1)
+
+    if dof > 25_000:
+        return float(ranges(np.array([q]))[0])
+    # Scale s with dof s^2 chi-square: integrate over eight deviations around 1.
+    sd = 1 / math.sqrt(2 * dof)
+    low, high = max(1e-9, 1 - 9 * sd), 1 + 9 * sd + (3 / dof if dof < 10 else 0) * 2
+    total = 0.0
+    for a, b in zip(np.linspace(low, high, 5), np.linspace(low, high, 5)[1:]):
+        s = (b - a) / 2 * z + (a + b) / 2
+        logf = math.log(2) + dof / 2 * math.log(dof / 2) - math.lgamma(dof / 2) + (dof - 1) * np.log(s) - dof * s * s / 2
+        total += (b - a) / 2 * float((w * np.exp(logf) * ranges(q * s)).sum())
+    return float(min(max(total, 0.0), 1.0))
+
+
+def srange_sf(q: float, k: int, dof: float) -> float:
+    return 1 - srange_cdf(q, k, dof)
+
+
+def srange_ppf(p: float, k: int, dof: float) -> float:
+    low, high = 0.0, 1.0
+    while srange_cdf(high, k, dof) < p and high < 1e6:
+        high *= 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if srange_cdf(middle, k, dof) < p else (low, middle)
+    return (low + high) / 2
 
 
 def proportions_ztest(df: DataFrame, success: str, group: str) -> DataFrame:
@@ -130,9 +277,30 @@ def cohens_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def jarque_bera(df: DataFrame, value: str) -> DataFrame:
     m = moments(df, value)
-    skew, kurt = m["m3"] / m["m2"] ** 1.5, m["m4"] / m["m2"] ** 2
+    skew, kurt = shape(m)
     jb = m["n"] / 6 * (skew**2 + (kurt - 3) ** 2 / 4)
-    return one(df, jb=jb, pvalue=dist.chi2_sf(jb, 2), skew=skew, kurtosis=kurt)
+    return one(df, jb=jb, pvalue=dist.chi2_sf(jb, 2) if math.isfinite(jb) else math.nan, skew=skew, kurtosis=kurt)
+
+
+def omni_normtest(df: DataFrame, value: str) -> DataFrame:
+    """D'Agostino and Pearson's statistic from transformed skewness and kurtosis; NaN below 8 rows."""
+    m = moments(df, value)
+    n, (skew, kurt) = m["n"], shape(m)
+    if n < 8 or math.isnan(skew):
+        return one(df, statistic=math.nan, pvalue=math.nan)
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + math.sqrt(2 * (b2 - 1))
+    zs = math.asinh(y / math.sqrt(2 / (w2 - 1))) / math.sqrt(0.5 * math.log(w2))
+    e = 3 * (n - 1) / (n + 1)
+    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    x = (kurt - e) / math.sqrt(var)
+    b1 = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / b1 * (2 / b1 + math.sqrt(1 + 4 / b1**2))
+    d = 1 + x * math.sqrt(2 / (a - 4))
+    zk = ((1 - 2 / (9 * a)) - math.copysign(abs((1 - 2 / a) / d) ** (1 / 3), d)) / math.sqrt(2 / (9 * a)) if d else math.nan
+    stat = zs * zs + zk * zk
+    return one(df, statistic=stat, pvalue=dist.chi2_sf(stat, 2))
 
 
 def multipletests(df: DataFrame, p: str, method: str = "bh") -> DataFrame:

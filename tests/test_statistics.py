@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import distributions as dist
-from tallyforge.operators import regression, series, survival, tests
+from tallyforge.operators import glm, hypothesis, regression, series, survival
 from tallyforge.operators.formula import design
 from tallyforge.plans import catalog
 
@@ -37,6 +37,7 @@ def test_distribution_tails():
     assert math.isclose(dist.chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-10)
     assert math.isclose(dist.f_sf(4.964602743730711, 1, 10), 0.05, rel_tol=1e-9)
     assert math.isclose(dist.t_ppf(0.975, 10), 2.228138851964939, rel_tol=1e-9)
+    assert math.isclose(dist.t_ppf(0.99999, 1), 31830.988607, rel_tol=1e-8)
     assert dist.chi2_sf(0, 3) == 1 and dist.f_sf(0, 2, 3) == 1
 
 
@@ -77,7 +78,15 @@ def test_collinear_columns_and_missing_rows(spark):
 def test_formula_terms(sample):
     df = sample[0]
     assert design(df, "y ~ a + log(b) + I(a + 1) - 1").names == ["a", "log(b)", "I(a + 1)"]
-    assert design(df, "y ~ g:a - 1").names == ["g[T.b]:a", "g[T.c]:a"]
+    assert design(df, "y ~ g:a - 1").names == ["g[a]:a", "g[b]:a", "g[c]:a"]
+    assert design(df, "y ~ a*b - a").names == ["Intercept", "b", "a:b"]
+    assert design(df, "y ~ a + g:a").names == ["Intercept", "a", "g[T.b]:a", "g[T.c]:a"]
+    assert design(df, "y ~ (a + b + c)**2".replace("c", "y")).names == ["Intercept", "a", "b", "y", "a:b", "a:y", "b:y"]
+    assert design(df, "y ~ g/a").names == ["Intercept", "g[T.b]", "g[T.c]", "g[a]:a", "g[b]:a", "g[c]:a"]
+    assert design(df, "y ~ C(g, Sum) - 1").names == ["C(g, Sum)[mean]", "C(g, Sum)[S.a]", "C(g, Sum)[S.b]"]
+    for bad in ("y ~", "~ a", "y ~ a +", "y ~ (a", "y ~ a ** b", "y ~ C(g, Odd)"):
+        with pytest.raises(ValueError):
+            design(df, bad)
     assert design(df, "y ~ C(g) - 1").names == ["C(g)[a]", "C(g)[b]", "C(g)[c]"]
 
 
@@ -88,7 +97,7 @@ def test_logit_equals_newton(sample, spark):
     for _ in range(50):
         p = 1 / (1 + np.exp(-full @ beta))
         beta += np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]), full.T @ (z - p))
-    fit = regression.glm(df.withColumn("z", (F.col("y") > 1).cast("int")), "z ~ a + b", "binomial")
+    fit = glm.glm(df.withColumn("z", (F.col("y") > 1).cast("int")), "z ~ a + b", "binomial")
     assert np.allclose(fit.params, beta, rtol=1e-6)
 
 
@@ -114,4 +123,4 @@ def test_survival_of_all(spark):
 
 def test_adjusted_p_values(spark):
     df = spark.createDataFrame([(0.01,), (0.02,), (0.03,), (None,)], "p double")
-    assert [round(r["p_adjusted"], 6) for r in tests.multipletests(df, "p", "holm").orderBy("p").collect()] == [0.03, 0.04, 0.04]
+    assert [round(r["p_adjusted"], 6) for r in hypothesis.multipletests(df, "p", "holm").orderBy("p").collect()] == [0.03, 0.04, 0.04]
