@@ -15,8 +15,10 @@ from tallyforge.llm import bpe
 from tallyforge.llm import textbatch as tb
 from tallyforge.llm.session import arrow_batches, written
 
-#: Bytes of text whose distinct words are encoded together.
-BLOCK = 4 << 20
+#: Bytes of text whose distinct words are gathered for the dictionary, and of text that is encoded together.
+BLOCK, ENCODED = 4 << 20, 2 << 20
+#: Bytes of a block that are cut into words at a time.
+PART = 1 << 19
 #: Words of more than WINDOW bytes are folded in windows of so many.
 WINDOW = 128
 #: At most so many words, those of the most blocks, are encoded once for all blocks; a block encodes its other words itself.
@@ -149,11 +151,25 @@ def decoded(ids: Column | str, vocabulary: str | None = None) -> Column:
 def words_of(table: pa.Table, classes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of the texts of a table, the number of each place's word, and the places of each text."""
     data, off = tb.flat(table.column("text").combine_chunks())
-    begins, n_pre = tb.pretokens(data, off, classes)
+    parts, at = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    while at < len(off) - 1:
+        stop = max(at + 1, int(np.searchsorted(off, off[at] + PART, "right")) - 1)
+        begins, n_pre = tb.pretokens(data[off[at] : off[stop]], off[at : stop + 1] - off[at], classes)
+        parts.append((begins + off[at], n_pre))
+        at = stop
+    begins, n_pre = map(np.concatenate, zip(*parts, strict=True))
     words, word_off, code = tb.unique_pieces(data, begins, len(data)) if len(begins) else (np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int32))
     return pa.Array.from_buffers(pa.binary(), len(word_off) - 1, [None, pa.py_buffer(word_off.astype(np.int32)), pa.py_buffer(words)]), code, n_pre
 
 
+def places(words: pa.Array, known: pa.Array) -> pa.Array:
+    """The place of each word in known, null for none; both distinct. Only words are hashed: known has many times as many."""
+    at = pc.index_in(known, value_set=words)
+    found = np.full(len(words), -1, np.int32)
+    found[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    return pa.array(found, mask=found < 0)
+
+
 def dictionary(given: DataFrame, vocabulary: str, limit: int = DICTIONARY) -> tuple[pa.Array, pa.ListArray]:
     """Words of several blocks with their ids: all words of at least as many blocks as leave at most limit."""
     spark = given.sparkSession
@@ -192,7 +208,7 @@ def dictionary(given: DataFrame, vocabulary: str, limit: int = DICTIONARY) -> tu
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", check: bool = True) -> DataFrame:
     """Token ids of every text: (doc_id, n_tokens, tokens, round_trip), one row per input row.
 
-    Texts are gathered in blocks of about BLOCK bytes, each a set of distinct words and texts as numbers of
+    Texts are gathered in blocks of about ENCODED bytes, each a set of distinct words and texts as numbers of
     words. Higher-order functions fold the ranked merges over the byte arrays of distinct words: the
     DICTIONARY commonest words of several blocks once for all, in a table that is then broadcast, and every
     other word once in its block. Then they put the texts' ids together. Only the distinct words of blocks
@@ -220,13 +236,13 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
         classes, offsets, data, id_off, id_values = shared.value
         known = None if offsets is None else pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         names = None if offsets is None else pa.ListArray.from_arrays(pa.array(id_off, pa.int32()), pa.array(id_values, pa.int32()))
-        for table in tb.sized(batches, "text", BLOCK):
+        for table in tb.sized(batches, "text", ENCODED):
             column = table.column("text").combine_chunks()
             words, code, n_pre = words_of(table, classes)
             if known is None:
                 found = pa.nulls(len(words), pa.list_(pa.int32()))
             else:
-                found = names.take(pc.index_in(words, value_set=known))
+                found = names.take(places(words, known))
                 words = pc.if_else(found.is_valid(), pa.scalar(None, pa.binary()), words)
             ends = np.concatenate([[0], np.cumsum(n_pre)])
             numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code, pa.int32()), mask=column.is_null())

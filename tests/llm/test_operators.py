@@ -3,10 +3,12 @@
 import base64
 import math
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -381,6 +383,45 @@ def test_long_words_equal_another_encoder(spark, coding):
     assert {r["x"] for r in back} <= set(texts)
 
 
+def test_bpe_dictionary_of_small_blocks_equals_another_encoder(docs, coding, monkeypatch):
+    monkeypatch.setattr(op10_bpe, "BLOCK", 300)
+    monkeypatch.setattr(op10_bpe, "ENCODED", 200)
+    assert len(op10_bpe.dictionary(docs.select("text"), bpe.default_vocabulary())[0]) > 40
+    want = Counter((r["doc_id"], None if r["text"] is None else tuple(coding.encode_ordinary(r["text"]))) for r in docs.collect())
+    assert Counter((r["doc_id"], None if r["tokens"] is None else tuple(r["tokens"])) for r in op10_bpe.encode(docs).collect()) == want
+
+
+def test_bpe_look_up_holds_no_hash_table_of_the_dictionary():
+    known = pa.array([b"known %d" % i for i in range(300_000)])
+    words = pa.array([b"known %d" % i for i in range(299_999, 0, -600)] + [b"new %d" % i for i in range(500)])
+    pool, usual = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        got = op10_bpe.places(words, known).to_pylist()  # arrays mustn't outlive their pool
+    finally:
+        pa.set_memory_pool(usual)
+    assert got == [*range(299_999, 0, -600)] + [None] * 500
+    assert pool.max_memory() < 10 * len(known)  # with known as the table 70 bytes a word
+    none = pa.array([], pa.binary())
+    assert op10_bpe.places(none, known).to_pylist() == [] and op10_bpe.places(words, none).null_count == len(words)
+
+
+def test_bpe_cuts_a_block_in_little_memory(monkeypatch):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"wörd{i} it's" for i in rng.integers(0, 3000, 150)) for _ in range(1500)] + ["", None, "x" * 700_000, ""]
+    table, classes = pa.table({"text": pa.array(texts)}), tb.class_table()
+    tracemalloc.start()
+    words, code, n_pre = op10_bpe.words_of(table, classes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(len(t.encode()) for t in texts if t)
+    assert peak < 12 * size, peak / size
+    monkeypatch.setattr(op10_bpe, "PART", 1 << 40)
+    whole = op10_bpe.words_of(table, classes)
+    assert words.equals(whole[0]) and (code == whole[1]).all() and (n_pre == whole[2]).all()
+    assert b"".join(words.take(pa.array(code)).to_pylist()).decode() == "".join(t or "" for t in texts)
+
+
 def test_topk_of_a_query_set_in_blocks(spark):
     rng = np.random.default_rng(7)
     x = np.round(np.concatenate([rng.normal(c, 0.05, (150, 8)) for c in rng.normal(size=(6, 8)) * 3]), 3)
