@@ -40,7 +40,7 @@ def kaplan_meier(df: DataFrame, time: str, status: str, entry: str | None = None
     sums = {
         "lost": F.when(F.col("d") == F.col("n"), 1).otherwise(0),
         "log_s": F.when(F.col("d") < F.col("n"), F.log1p(-F.col("d") / F.col("n"))).otherwise(0.0),
-        "g": F.when(F.col("n") > F.col("d"), F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0),
+        "g": F.when(F.col("n") > F.col("d"), F.col("d") / (F.col("n").cast("double") * (F.col("n") - F.col("d")))).otherwise(0.0),
     }
     t = numbered(t, "t", (), sums)
     t = t.withColumn("surv", F.when(F.col("lost") >= 1, 0.0).otherwise(F.exp("log_s")))
@@ -75,7 +75,7 @@ def logrank(df: DataFrame, time: str, status: str, group: str, weight: str = "lo
         drop = F.log1p(-F.least(F.col("d") / F.col("n"), F.lit(1 - 1e-15)))
         t = numbered(t, "t", (), {"ls": drop}).withColumn("ls", F.col("ls") - drop).drop("pos_")
     w = {"logrank": F.lit(1.0), "gehan-breslow": F.col("n").cast("double"), "tarone-ware": F.sqrt("n"), "fleming-harrington": F.exp(fh_p * F.col("ls"))}[weight]
-    v = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0) * w * w
+    v = F.when(F.col("n") > 1, F.col("d").cast("double") * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0) * w * w
     p = lambda i: F.col(f"n{i}") / F.col("n")
     m = k - 1
     row = t.agg(F.count("*"), *(F.sum(w * (F.col(f"d{i}") - F.col("d") * p(i))) for i in range(m)), *(F.sum(v * p(i) * ((1.0 if i == j else 0.0) - p(j))) for i in range(m) for j in range(m))).first()
@@ -93,7 +93,9 @@ def cumulative_incidence(df: DataFrame, time: str, cause: str) -> DataFrame:
     x = df.where(F.col(time).isNotNull() & F.col(cause).isNotNull()).select(F.col(time).cast("double").alias("t"), F.col(cause).cast("int").alias("k"))
     causes = sorted(r[0] for r in x.where("k > 0").select("k").distinct().collect())
     t = x.groupBy("t").agg(F.count("*").alias("c"), F.count_if(F.col("k") > 0).alias("d"), *(F.count_if(F.col("k") == k).alias(f"d{k}") for k in causes))
-    t = numbered(t.withColumn("back_", -F.col("t")), "back_", (), {"n": F.col("c")}).drop("pos_", "back_").where("d > 0")
+    t = numbered(t.withColumn("back_", -F.col("t")), "back_", (), {"n": F.col("c")}).where("d > 0")
+    # Counts as doubles: the cube of a bigint overflows beyond two million rows at risk.
+    t = t.select("t", *(F.col(c).cast("double").alias(c) for c in ("n", "d", *(f"d{k}" for k in causes))))
     drop = F.log1p(-F.least(F.col("d") / F.col("n"), F.lit(1 - 1e-15)))
     t = numbered(t, "t", (), {"ls": drop}).drop("pos_").withColumn("s", F.exp(F.col("ls") - drop))
     hazard = {f"i{k}": F.col("s") * F.col(f"d{k}") / F.col("n") for k in causes}

@@ -121,6 +121,13 @@ def test_survival_of_all(spark):
     assert [(r["t"], round(r["surv"], 6)) for r in survival.kaplan_meier(df, "t", "e").orderBy("t").collect()] == [(1.0, 0.666667), (3.0, 0.0)]
 
 
+def test_incidence_of_millions(spark):
+    rows = lambda n: spark.range(n).select((F.col("id") % 3).alias("t"), (F.col("id") % 2).alias("k"))
+    few, many = (survival.cumulative_incidence(rows(n), "t", "k").orderBy("t").collect() for n in (24, 2_400_000))
+    assert [round(r["incidence"], 9) for r in many] == [round(1 / 6, 9), 0.375, 0.6875]
+    assert all(abs(a["std_err"] - b["std_err"] * 100_000**0.5) < 1e-9 for a, b in zip(few, many))
+
+
 def test_adjusted_p_values(spark):
     df = spark.createDataFrame([(0.01,), (0.02,), (0.03,), (None,)], "p double")
     assert [round(r["p_adjusted"], 6) for r in hypothesis.multipletests(df, "p", "holm").orderBy("p").collect()] == [0.03, 0.04, 0.04]
