@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,41 +35,64 @@ def shape(m: dict[str, float]) -> tuple[float, float]:
     return (m["m3"] / m["m2"] ** 1.5, m["m4"] / m["m2"] ** 2) if m["n"] and m["m2"] > 0 else (math.nan, math.nan)
 
 
-#: Up to so many distinct values, exact quantiles come from one aggregate that holds them; beyond, from a range-partitioned count.
-DISTINCT = 2_000_000
-
-
-def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
-    """Exact quantiles with interpolation. Few distinct values: one aggregate. Many: the rows are counted by range of value, and
-    only the ranges that hold a wanted place are sorted, so that no task holds all values. NaN without rows."""
-    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, distinct = x.agg(F.count("*"), F.approx_count_distinct("x")).first()
-    if not n:
-        return [math.nan] * len(shares)
-    if distinct <= DISTINCT:
-        return list(x.agg(F.percentile("x", F.array(*(F.lit(float(p)) for p in shares)))).first()[0])
-    cuts = sorted(set(x.agg(F.percentile_approx("x", F.array(*(F.lit(i / 200) for i in range(1, 200))), 1000)).first()[0]))
-    at = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col("x")))
-    placed = x.withColumn("r", at)
-    counts = {r["r"]: r["count"] for r in placed.groupBy("r").count().collect()}  # at most 200 rows
-    base, upto = {}, 0
-    for r in sorted(counts):
-        base[r], upto = upto, upto + counts[r]
-    places = sorted({k for p in shares for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
-    needed = sorted({r for r in counts for k in places if base[r] <= k < base[r] + counts[r]})
-    grouped = placed.where(F.col("r").isin(needed)).groupBy("r", "x").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    first = F.element_at(F.map_from_arrays(F.array(*map(F.lit, needed)), F.array(*(F.lit(base[r]) for r in needed))), F.col("r"))
-    ends = grouped.withColumn("hi", upto + first).withColumn("lo", F.col("hi") - F.col("c"))
-    wanted = F.exists(F.array(*(F.lit(k) for k in places)), lambda k: (k >= F.col("lo")) & (k < F.col("hi")))
-    found = ends.where(wanted).select("x", "lo", "hi").collect()
-    value_at = {k: r["x"] for k in places for r in found if r["lo"] <= k < r["hi"]}
-    out = []
-    for p in shares:
-        t = p * (n - 1)
-        lo, hi = math.floor(t), math.ceil(t)
-        out.append(value_at[lo] + (value_at[hi] - value_at[lo]) * (t - lo))
-    return out
+#: Rows of a group beyond which only the ranges of its values that hold a wanted place are sorted, and groups that are broadcast at most.
+ROWS, GROUPS = 1_000_000, 100_000
+
+
+def ranges(df: DataFrame, cuts: str, value: str, name: str) -> DataFrame:
+    """df with name, how many of the ascending cuts (an array of up to 255, null for none) are below value, by halving. It is a fold:
+    chained columns are collapsed into an expression that grows threefold a step."""
+    steps = F.array(*(F.lit(k) for k in (128, 64, 32, 16, 8, 4, 2, 1)))
+    return df.withColumn(name, F.aggregate(steps, F.lit(0), lambda i, k: i + F.when(F.get(F.col(cuts), i + k - 1) < F.col(value), k).otherwise(0)))
+
+
+def grouped_quantiles(df: DataFrame, value: str, group: str, shares: dict[str, float], rows: int = ROWS) -> DataFrame:
+    """Exact quantiles with interpolation by group: (group, a double for each of shares), without null groups and values; NaN is above
+    all numbers. Distinct values are counted and placed by running counts. Those of a group of more than rows rows are cut into 200
+    ranges, of which only those that hold a wanted place are sorted, each by itself, so that no task holds a large group. Up to
+    GROUPS groups, a join with the result is a broadcast."""
+    spark = df.sparkSession
+    x = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), F.xxhash64(group).alias("h")).where("g is not null and x is not null")
+    large = F.when(F.col("n") > rows, F.struct("h", "n"))
+    groups, found = x.groupBy("g", "h").agg(F.count("*").alias("n")).agg(F.count("*"), F.collect_list(large)).first()  # at most one of each rows rows
+    size = {r["h"]: r["n"] for r in found}
+    if size:
+        every = F.array(*(F.lit(i / 200) for i in range(1, 200)))
+        big = x.where(F.col("h").isin(list(size)))
+        # The cuts are values, so that a repeated task cuts alike.
+        cuts = {r["h"]: sorted({c for c in r["c"] if not math.isnan(c)}) for r in big.groupBy("h").agg(F.percentile_approx("x", every, 1000).alias("c")).collect()}
+        bound = spark.createDataFrame(list(cuts.items()), "h bigint, cuts array<double>")
+        counts = {(r["h"], r["r"]): r["count"] for r in ranges(big.join(F.broadcast(bound), "h"), "cuts", "x", "r").groupBy("h", "r").count().collect()}
+        held = []
+        for h, c in cuts.items():
+            places = {k for p in shares.values() for k in (math.floor(p * (size[h] - 1)), math.ceil(p * (size[h] - 1)))}
+            base, upto = [], 0
+            for r in range(len(c) + 1):
+                n = counts.get((h, r), 0)
+                base.append(upto if any(upto <= k < upto + n for k in places) else None)
+                upto += n
+            held.append((h, size[h], c, base))
+        bound = spark.createDataFrame(held, "h bigint, n bigint, cuts array<double>, base array<bigint>")
+        y = ranges(x.join(F.broadcast(bound), "h", "left"), "cuts", "x", "r").withColumn("b", F.when(F.col("cuts").isNull(), 0).otherwise(F.get("base", F.col("r")))).where("b is not null")
+    else:
+        y = x.select("g", "x", F.lit(0).alias("r"), F.lit(None).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("b"))
+    w = Window.partitionBy("g", "r")
+    y = y.groupBy("g", "r", "b", "n", "x").agg(F.count("*").alias("c"))
+    y = y.select("g", "x", "c", (F.col("b") + F.sum("c").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).alias("upto"), F.coalesce("n", F.sum("c").over(w)).alias("n"))
+    at = {m: F.lit(float(p)) * (F.col("n") - 1) for m, p in shares.items()}
+    here = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("x")))
+    y = y.groupBy("g", "n").agg(*(here(f(t)).alias(f"{e}_{m}") for m, t in at.items() for e, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda lo, hi, t: F.when(lo == hi, lo).otherwise((F.ceil(t) - t) * lo + (t - F.floor(t)) * hi)
+    out = y.select(F.col("g").alias(group), *(between(F.col(f"lo_{m}"), F.col(f"hi_{m}"), t).alias(m) for m, t in at.items()))
+    return F.broadcast(out) if groups <= GROUPS else out
+
+
+def quantiles(df: DataFrame, value: str | Column, shares: list[float], rows: int = ROWS) -> list[float]:
+    """Exact quantiles with interpolation, of all rows as of one group. NaN without rows."""
+    v = F.col(value) if isinstance(value, str) else value
+    x = df.select(v.cast("double").alias("x"), F.lit(0).alias("all")).where("x is not null and not isnan(x)")
+    row = grouped_quantiles(x, "x", "all", {f"q{i}": p for i, p in enumerate(shares)}, rows).first()
+    return list(row)[1:] if row else [math.nan] * len(shares)
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.hypothesis import ROWS, grouped_quantiles
+
 
 def kde(df: DataFrame, value: str, grid: list[float], bandwidth: float) -> DataFrame:
     """Gaussian kernel density at each grid point: one aggregate with a sum per point, so that the data is read once and not crossed."""
@@ -24,10 +26,10 @@ def histogram(df: DataFrame, value: str, low: float, width: float, bins: int) ->
     return df.where((x >= low) & (x <= low + bins * width)).groupBy(i.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def box(df: DataFrame, value: str, group: str) -> DataFrame:
+def box(df: DataFrame, value: str, group: str, rows: int = ROWS) -> DataFrame:
     """Quartiles, whiskers within 1.5 interquartile ranges and the number of outliers, by group."""
-    q = df.groupBy(group).agg(*(F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("med", 0.5), ("q3", 0.75))))
-    x = df.join(q, group)
+    q = grouped_quantiles(df, value, group, {"q1": 0.25, "med": 0.5, "q3": 0.75}, rows)
+    x = df.where(F.col(group).isNotNull()).join(q, group, "left")
     span = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * span) & (F.col(value) <= F.col("q3") + 1.5 * span)
     return x.groupBy(group, "q1", "med", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count_if(~inside).alias("outliers"))

@@ -190,6 +190,20 @@ def test_survival_models(spark):
         survival.cox(frame.withColumn("e", F.lit(0)), "t", "e", "z")
 
 
+def test_box_of_large_groups(spark):
+    rng = np.random.default_rng(7)
+    data = [("a", float(v)) for v in rng.normal(size=3000)] + [("b", float(v)) for v in rng.integers(0, 5, 2000)] + [("c", 0.0)] * 900 + [("c", float(v)) for v in rng.exponential(size=300)] + [("d", math.nan)] * 700 + [("d", float(i)) for i in range(600)] + [("e", 1.5), ("f", None), (None, 2.0)]
+    frame = spark.createDataFrame(data, "k string, v double").repartition(5).persist()
+    want = {r[0]: r[1] for r in frame.where("k is not null and v is not null").groupBy("k").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).collect()} | {"f": [None] * 3}
+    for rows in (500, 1_000_000):
+        boxes = smooth.box(frame, "v", "k", rows)
+        got = {r["k"]: [r["q1"], r["med"], r["q3"]] for r in boxes.collect()}
+        assert repr(sorted(got.items())) == repr(sorted(want.items()))
+        plan = boxes._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "rightHint=(strategy=broadcast)" in plan
+    frame.unpersist()
+
+
 def test_degenerate_input(spark):
     one, none = spark.createDataFrame([(1, 2.0)], "i int, v double"), spark.createDataFrame([], "i int, v double")
     for frame, n in ((one, 1), (none, 0)):
